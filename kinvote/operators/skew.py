@@ -38,7 +38,8 @@ def tree_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], fan_
     """One row per distinct ``keys`` with the merged ``measures``.
 
     A chunk is an input partition, whose size Spark bounds when it splits files
-    or shuffles. Round r combines the states of ``fan_in`` neighbouring nodes
+    or shuffles; chunks take ``chunks`` slots in turn (by default the session's
+    shuffle partitions). Round r combines the states of ``fan_in`` neighbouring nodes
     (node = chunk div fan_in^r) per key; before each exchange Spark combines
     equal (key, node) states in place. Null keys form a group of their own;
     measures skip nulls like the SQL functions and are null if all are. An
@@ -47,9 +48,9 @@ def tree_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], fan_
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    chunks = chunks or max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = [F.col(k) for k in keys]
-    states = df.select(*named, *[m.value.alias(m.name) for m in measures], F.spark_partition_id().alias("_node"))
+    states = df.select(*named, *[m.value.alias(m.name) for m in measures], F.pmod(F.spark_partition_id(), F.lit(chunks)).alias("_node"))
     for _ in range(levels(chunks, fan_in)):
         states = states.withColumn("_node", F.floor(F.col("_node") / fan_in).cast("int")).groupBy(*named, "_node").agg(*[_MERGE[m.merge](m.name).alias(m.name) for m in measures])
     return states.groupBy(*named).agg(*[_MERGE[m.merge](m.name).alias(m.name) for m in measures])

@@ -14,7 +14,7 @@ def p6_found(spark, at):
 
 def p6_terms(spark, at):
     out = skew.term_results(table(spark, at, "annotations"), table(spark, at, "predictions"))
-    return out.select("table_name", "go_term_id", "n_rows", "n_pairs", F.round("share", 9).alias("share"), "n_scored", F.round("score_mean", 6).alias("score_mean"), "score_min", "score_max")
+    return out.select("table_name", "go_term_id", "n_rows", "n_pairs", F.round("share", 9).alias("share"), "n_scored", "score_micros", "score_min", "score_max")
 
 
 _PAIRS = r"""
@@ -34,5 +34,5 @@ QUERIES = {"p6_found": p6_found, "p6_terms": p6_terms}
 SQL = {
     "p6_found": _PAIRS + "SELECT table_name, go_term_id FROM r WHERE n_pairs * 100 >= 3 * all_pairs",
     "p6_terms": _PAIRS + "SELECT table_name, go_term_id, n_rows, n_pairs, round(n_pairs / all_pairs, 9) share, n_scored, "
-    "round(CASE WHEN n_scored > 0 THEN s / n_scored / 1000000 END, 6) score_mean, score_min, score_max FROM r",
+    "s AS score_micros, score_min, score_max FROM r",
 }
