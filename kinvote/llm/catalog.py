@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from kinvote.llm import cutoff, top_n
+from pyspark.sql import functions as F
+
+from kinvote.llm import cutoff, mixing, packing, top_n
 from kinvote.sources.tables import table
 
 
@@ -22,6 +24,26 @@ def p2_cutoffs(spark, at):
     return cutoff.aspect_cutoffs(table(spark, at, "predictions"))[1].select("aspect", "cutoff", "total", "kept")
 
 
+def p7_found(spark, at):
+    return packing.oversized(table(spark, at, "documents"))
+
+
+def p7_containers(spark, at):
+    return packing.pack_documents(table(spark, at, "documents"))
+
+
+def p8_found(spark, at):
+    return mixing.mix_documents(table(spark, at, "documents"), table(spark, at, "mix_targets"))[1].where("short").select("source")
+
+
+def p8_report(spark, at):
+    return mixing.mix_documents(table(spark, at, "documents"), table(spark, at, "mix_targets"))[1]
+
+
+def p8_uses(spark, at):
+    return mixing.mix_documents(table(spark, at, "documents"), table(spark, at, "mix_targets"))[0]
+
+
 _BEST = r"""
 WITH b AS (SELECT upper(trim(protein_accession, ' ' || chr(9) || chr(10) || chr(13))) protein_accession, go_term_id, max(reranker_score) reranker_score
            FROM predictions WHERE NOT isnan(reranker_score) AND reranker_score BETWEEN 0 AND 1 GROUP BY 1, 2),
@@ -39,7 +61,8 @@ WITH n AS (SELECT prediction_id, reranker_score s, lower(trim(aspect, ' ' || chr
      k AS (SELECT aspect, total, s AS cutoff FROM r WHERE i = ceil(total * CASE aspect WHEN 'F' THEN 0.30 WHEN 'P' THEN 0.15 ELSE 0.45 END))
 """
 
-QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs}
+QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs,
+    "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report, "p8_uses": p8_uses}
 SQL = {
     "p1_found": _BEST + "SELECT protein_accession, go_term_id FROM r WHERE position <= 5",
     "p1_top_terms": _BEST + "SELECT * FROM r WHERE position <= 5",
