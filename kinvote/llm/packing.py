@@ -161,7 +161,7 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, source_share: fl
     first = cut(_packed(rest, F.pmod(F.xxhash64("item", "piece"), F.lit(shards)), "a", capacity, source_share), "packed")
     loose = F.col("used") < int(capacity * (1 - LOOSE))
     group = F.floor(F.regexp_extract("bin_id", r"a(\d+)-", 1).cast("long") / MERGE)
-    again = _packed(first.where(loose).drop("bin_id", "used").withColumn("_group", group), F.col("_group"), "b", capacity, source_share) if shards > 1 else first.where(loose)
+    again = _packed(first.where(loose).withColumn("_group", group).drop("bin_id", "used"), F.col("_group"), "b", capacity, source_share) if shards > 1 else first.where(loose)
     placed = first.where(~loose).unionByName(again).select("bin_id", "item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n_tokens", "used")
     return whole.unionByName(placed).unionByName(empty)
 
