@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinvote.llm import cutoff, mixing, packing, top_n
+from kinvote.llm import cutoff, mixing, nearest, packing, splits, stuffing, top_n
 from kinvote.sources.tables import table
 
 
@@ -24,6 +24,23 @@ def p2_cutoffs(spark, at):
     return cutoff.aspect_cutoffs(table(spark, at, "predictions"))[1].select("aspect", "cutoff", "total", "kept")
 
 
+def p3_found(spark, at):
+    return splits.split_training_rows(table(spark, at, "training_rows")).where("group_size >= 2").select("example_id", "group_id")
+
+
+def p3_splits(spark, at):
+    return splits.split_training_rows(table(spark, at, "training_rows"))
+
+
+def p5_found(spark, at):
+    return nearest.most_similar(table(spark, at, "queries"), table(spark, at, "refs")).select("query_pos", "ref_accession")
+
+
+def p5_neighbours(spark, at):
+    out = nearest.most_similar(table(spark, at, "queries"), table(spark, at, "refs"))
+    return out.select("query_pos", "ref_accession", "rank", F.round("distance", 6).alias("distance"))
+
+
 def p7_found(spark, at):
     return packing.oversized(table(spark, at, "documents"))
 
@@ -44,6 +61,15 @@ def p8_uses(spark, at):
     return mixing.mix_documents(table(spark, at, "documents"), table(spark, at, "mix_targets"))[0]
 
 
+def p9_found(spark, at):
+    return stuffing.stuffed(table(spark, at, "documents")).select("doc_id")
+
+
+def p9_lines(spark, at):
+    out = stuffing.judged(table(spark, at, "documents").select("doc_id", "text"))
+    return out.withColumn("stuffed_share", F.round("stuffed_share", 6))
+
+
 _BEST = r"""
 WITH b AS (SELECT upper(trim(protein_accession, ' ' || chr(9) || chr(10) || chr(13))) protein_accession, go_term_id, max(reranker_score) reranker_score
            FROM predictions WHERE NOT isnan(reranker_score) AND reranker_score BETWEEN 0 AND 1 GROUP BY 1, 2),
@@ -61,11 +87,31 @@ WITH n AS (SELECT prediction_id, reranker_score s, lower(trim(aspect, ' ' || chr
      k AS (SELECT aspect, total, s AS cutoff FROM r WHERE i = ceil(total * CASE aspect WHEN 'F' THEN 0.30 WHEN 'P' THEN 0.15 ELSE 0.45 END))
 """
 
+_TIED = r"""
+WITH RECURSIVE c AS (SELECT example_id id, lower(trim(seq_checksum, ' ' || chr(9) || chr(10) || chr(13))) k FROM training_rows),
+     k AS (SELECT example_id id, 'a' || upper(regexp_extract(protein_accession, '[A-Za-z][0-9]{8}')) k FROM training_rows
+           WHERE regexp_matches(protein_accession, '[A-Za-z][0-9]{8}')
+           UNION SELECT id, 'c' || k FROM c WHERE k <> '' AND NOT regexp_full_match(k, '0+|-+') AND k NOT IN ('null', 'none', 'n/a', 'na', 'nan', 'unknown')),
+     e AS (SELECT DISTINCT a.id x, b.id y FROM k a JOIN k b USING (k)),
+     r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT x example_id, min(y) group_id FROM r GROUP BY 1 HAVING count(DISTINCT y) >= 2
+"""
+_NEAREST = r"""
+WITH q AS (SELECT query_pos, embedding::DOUBLE[] v FROM queries WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+     r AS (SELECT ref_accession, embedding::DOUBLE[] v FROM refs WHERE ref_accession IS NOT NULL AND len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+     d AS (SELECT query_pos, ref_accession, min(1 - list_cosine_similarity(q.v, r.v)) distance FROM q, r GROUP BY 1, 2),
+     n AS (SELECT *, row_number() OVER (PARTITION BY query_pos ORDER BY distance, ref_accession) rank FROM d)
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_top_terms": p1_top_terms, "p2_found": p2_found, "p2_cutoffs": p2_cutoffs,
+    "p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p9_found": p9_found, "p9_lines": p9_lines,
     "p7_found": p7_found, "p7_containers": p7_containers, "p8_found": p8_found, "p8_report": p8_report, "p8_uses": p8_uses}
 SQL = {
     "p1_found": _BEST + "SELECT protein_accession, go_term_id FROM r WHERE position <= 5",
     "p1_top_terms": _BEST + "SELECT * FROM r WHERE position <= 5",
     "p2_found": _SCORED + "SELECT prediction_id FROM d JOIN k USING (aspect) WHERE d.s >= k.cutoff",
     "p2_cutoffs": _SCORED + "SELECT aspect, cutoff, any_value(total) total, count(*) kept FROM d JOIN k USING (aspect) WHERE d.s >= k.cutoff GROUP BY 1, 2",
+    "p3_found": _TIED,
+    "p5_found": _NEAREST + "SELECT query_pos, ref_accession FROM n WHERE rank <= 5",
+    "p5_neighbours": _NEAREST + "SELECT query_pos, ref_accession, rank, round(distance, 6) distance FROM n WHERE rank <= 5",
 }
