@@ -17,7 +17,7 @@ one for each node. Descendants of a node are all other nodes that reach it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ from kinvote.sources.scratch import cut, drop
 #: Links of a component up to which one task walks it (about 100 bytes a link there).
 MAX_LINKS = 3_000_000
 #: Nodes whose descendants or paths one task works out at a time.
-BLOCK = 2048
+BLOCK = 1024
+#: Path steps that are handed on at a time.
+CHUNK = 1_000_000
 #: Links that one task of small components has on average at most.
 TASK_LINKS = 500_000
 
@@ -41,7 +43,7 @@ NODES = T.StructType(
     [T.StructField("node", T.LongType()), T.StructField("component", T.LongType()), T.StructField("depth", T.IntegerType()), T.StructField("top", T.LongType()), T.StructField("path", T.ArrayType(T.LongType())), T.StructField("on_cycle", T.BooleanType()), T.StructField("cycle", T.LongType())]
 )
 BACK = T.StructType([T.StructField("child", T.LongType()), T.StructField("parent", T.LongType())])
-BELOW = T.StructType([T.StructField("node", T.LongType()), T.StructField("descendant", T.LongType())])
+BELOW = T.StructType([T.StructField("node", T.LongType()), T.StructField("descendants", T.ArrayType(T.LongType()))])
 PATHS = T.StructType([T.StructField("node", T.LongType()), T.StructField("top", T.LongType()), T.StructField("path", T.ArrayType(T.LongType()))])
 
 
@@ -259,7 +261,7 @@ class Hierarchy:
         self.big = self.links.join(big, "component", "left_semi")
         self.has_big = bool(big.limit(1).count())
 
-    def _walked(self, schema: T.StructType, emit: Callable[[Walk, int, int], pa.Table], blocks: bool = False) -> DataFrame:
+    def _walked(self, schema: T.StructType, emit: Callable[[Walk, int, int], Iterator[pa.Table]], blocks: bool = False) -> DataFrame:
         """Apply ``emit`` to the co-located components: all of a task's components make one walk.
 
         With ``blocks`` the links of a component of more than ``BLOCK`` nodes go
@@ -268,11 +270,13 @@ class Hierarchy:
         """
         arrow = to_arrow_schema(schema)
 
-        def run(key: tuple, links: pa.Table) -> pa.Table:
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            links = pa.Table.from_batches(list(batches))
             walk = Walk(links["child"].to_numpy(), links["parent"].to_numpy())
             block = key[1].as_py()
             span = (0, walk.n) if block < 0 else (block * BLOCK, min(walk.n, (block + 1) * BLOCK))
-            return emit(walk, *span).cast(arrow)
+            for table in emit(walk, *span):
+                yield from table.cast(arrow).combine_chunks().to_batches()
 
         task = -1 - F.pmod(F.xxhash64("component"), F.lit(self.tasks))
         if not blocks:
@@ -287,14 +291,14 @@ class Hierarchy:
     def described(self) -> DataFrame:
         """One row per node: component, depth, top, path (node first), on_cycle, cycle (least node of its group)."""
 
-        def emit(walk: Walk, first: int, last: int) -> pa.Table:
-            paths = [walk.names[walk.path(v)] for v in range(walk.n)]
-            flat = np.concatenate(paths) if paths else np.zeros(0, "i8")
-            ends = np.cumsum([0, *map(len, paths)])
-            cycle = pa.array(walk.names[walk.group], "i8", mask=~walk.on_cycle)
-            return pa.table(
-                {"node": walk.names, "component": np.zeros(walk.n, "i8"), "depth": walk.depth.astype("i4"), "top": np.array([x[-1] for x in paths], "i8"), "path": pa.ListArray.from_arrays(pa.array(ends, "i4"), pa.array(flat, "i8")), "on_cycle": walk.on_cycle, "cycle": cycle}
-            )
+        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
+            for lo in range(first, last, BLOCK):
+                own = slice(lo, min(lo + BLOCK, last))
+                paths = [walk.names[walk.path(v)] for v in range(own.start, own.stop)]
+                yield pa.table(
+                    {"node": walk.names[own], "component": np.zeros(len(paths), "i8"), "depth": walk.depth[own].astype("i4"), "top": np.array([x[-1] for x in paths], "i8"), "path": _lists(map(len, paths), np.concatenate(paths)),
+                     "on_cycle": walk.on_cycle[own], "cycle": pa.array(walk.names[walk.group[own]], "i8", mask=~walk.on_cycle[own])}
+                )
 
         out = self._walked(NODES, emit)
         if self.has_big:
@@ -314,9 +318,9 @@ class Hierarchy:
     def back_links(self) -> DataFrame:
         """The links that close cycles, as the walk meets them (components beyond the bound: links inside a cycle group that do not lower the depth)."""
 
-        def emit(walk: Walk, first: int, last: int) -> pa.Table:
+        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
             pairs = walk.names[np.array(walk.back, "i8").reshape(-1, 2)]
-            return pa.table({"child": pairs[:, 0], "parent": pairs[:, 1]})
+            yield pa.table({"child": pairs[:, 0], "parent": pairs[:, 1]})
 
         out = self._walked(BACK, emit)
         if self.has_big:
@@ -324,32 +328,46 @@ class Hierarchy:
         return out
 
     def descendants(self) -> DataFrame:
-        """(node, descendant) for every node and every other node that reaches it."""
+        """(node, descendants): every node that others reach, with all of them in ascending order."""
 
-        def emit(walk: Walk, first: int, last: int) -> pa.Table:
+        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
             parts = list(walk.reaching(first, last) if last - first <= BLOCK else walk.reaching_sets())
             above = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, "i8")
             below = np.concatenate([b for _, b in parts]) if parts else np.zeros(0, "i8")
-            return pa.table({"node": walk.names[above], "descendant": walk.names[below]})
+            del parts
+            order = np.lexsort((below, above))
+            above, below = above[order], walk.names[below[order]]
+            nodes, counts = np.unique(above, return_counts=True)
+            starts = np.concatenate([[0], np.cumsum(counts)])
+            for lo in range(0, len(nodes), 64):
+                hi = min(lo + 64, len(nodes))
+                yield pa.table({"node": walk.names[nodes[lo:hi]], "descendants": _lists(counts[lo:hi], below[starts[lo] : starts[hi]])})
 
         out = self._walked(BELOW, emit, blocks=True)
         if self.has_big:
-            out = out.unionByName(big_descendants(self.big))
+            out = out.unionByName(big_descendants(self.big).groupBy("node").agg(F.sort_array(F.collect_list("descendant")).alias("descendants")))
         return out
 
     def paths(self) -> DataFrame:
         """(node, top, path) for every path of every node to a top; nodes that are tops have the path of themselves."""
 
-        def emit(walk: Walk, first: int, last: int) -> pa.Table:
+        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
             nodes, lengths, flat = [], [], []
+
+            def ready() -> pa.Table:
+                steps, sizes = walk.names[np.array(flat, "i8")], np.array(lengths, "i8")
+                return pa.table({"node": walk.names[np.array(nodes, "i8")], "top": steps[np.cumsum(sizes) - 1], "path": _lists(sizes, steps)})
+
             for v in range(first, last):
                 for path in walk.paths(v):
                     nodes.append(v)
                     lengths.append(len(path))
                     flat.extend(path)
-            flat = walk.names[np.array(flat, "i8")]
-            ends = np.cumsum([0, *lengths])
-            return pa.table({"node": walk.names[np.array(nodes, "i8")], "top": flat[ends[1:] - 1], "path": pa.LargeListArray.from_arrays(pa.array(ends, "i8"), pa.array(flat, "i8"))})
+                    if len(flat) >= CHUNK:
+                        yield ready()
+                        nodes, lengths, flat = [], [], []
+            if nodes:
+                yield ready()
 
         out = self._walked(PATHS, emit, blocks=True)
         if self.has_big:
@@ -359,9 +377,15 @@ class Hierarchy:
         return out.unionByName(alone)
 
 
-def _cyclic(walk: Walk, first: int, last: int) -> pa.Table:
+def _lists(lengths: Iterable[int], values: np.ndarray) -> pa.Array:
+    """An array of lists of the given lengths."""
+    ends = np.cumsum([0, *lengths])
+    return pa.ListArray.from_arrays(pa.array(ends, "i4"), pa.array(values, "i8"))
+
+
+def _cyclic(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
     on = walk.on_cycle
-    return pa.table({"node": walk.names[on], "cycle": walk.names[walk.group[on]]})
+    yield pa.table({"node": walk.names[on], "cycle": walk.names[walk.group[on]]})
 
 
 # ---- components beyond the bound: distributed rounds over written tables ----

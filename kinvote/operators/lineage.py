@@ -22,7 +22,7 @@ def ancestor_closure(seeds: DataFrame, parents: DataFrame) -> DataFrame:
     seeds = seeds.select("go_id").dropna().distinct()
     names = cut(links.select("go_id").unionByName(links.select(F.col("parent_id").alias("go_id"))).distinct().withColumn("node", F.monotonically_increasing_id()), "names")
     child, parent = names.toDF("go_id", "child"), names.toDF("parent_id", "parent")
-    pairs = Hierarchy(links.join(child, "go_id").join(parent, "parent_id").select("child", "parent"), names.select("node")).descendants()
+    pairs = Hierarchy(links.join(child, "go_id").join(parent, "parent_id").select("child", "parent"), names.select("node")).descendants().select("node", F.explode("descendants").alias("descendant"))
     wanted = seeds.join(names, "go_id").select("go_id", F.col("node").alias("descendant"))
     above = pairs.join(wanted, "descendant").join(names.withColumnRenamed("go_id", "ancestor"), "node").select("go_id", "ancestor")
     return cut(seeds.select("go_id", F.col("go_id").alias("ancestor")).unionByName(above), "closure")

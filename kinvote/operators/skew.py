@@ -91,7 +91,7 @@ def term_results(annotations: DataFrame, predictions: DataFrame, fan_in: int = 1
     totals = both.groupBy("table_name").agg(F.sum("n_pairs").alias("all_pairs"))  # two rows
     return both.join(F.broadcast(totals), "table_name").select(
         "table_name", "go_term_id", "n_rows", "n_pairs", "all_pairs", (F.col("n_pairs") / F.col("all_pairs")).alias("share"),
-        "n_scored", (F.try_divide("score_micros", "n_scored") / 1_000_000).alias("score_mean"), "score_min", "score_max",
+        "n_scored", "score_micros", (F.try_divide("score_micros", "n_scored") / 1_000_000).alias("score_mean"), "score_min", "score_max",
     )
 
 
