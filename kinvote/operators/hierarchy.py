@@ -250,7 +250,7 @@ class Hierarchy:
         links = links.dropna().select("child", "parent").distinct()
         own = components(links.select(F.col("child").alias("u"), F.col("parent").alias("v")))
         # Nodes of self-links only, and of no link at all, are components of their own.
-        self.nodes = cut(nodes.select("node").unionByName(links.select(F.col("child").alias("node"))).dropna().distinct().join(own, "node", "left").select("node", F.coalesce("root", "node").alias("component")), "nodes")
+        self.nodes = cut(nodes.select("node").unionByName(links.select(F.explode(F.array("child", "parent")).alias("node"))).dropna().distinct().join(own, "node", "left").select("node", F.coalesce("root", "node").alias("component")), "nodes")
         placed = links.join(self.nodes.withColumnRenamed("node", "child"), "child")
         self.links = cut(placed.select("component", "child", "parent"), "component-links")
         sizes = cut(self.links.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
