@@ -66,14 +66,17 @@ def keep_fraction(records: DataFrame, source: str, score: str, identifier: str,
     ``targets`` names the sources (a parameter, so small by nature): records of
     other sources, and records with a null source, score or identifier, come
     under no cutoff and are not kept. A source without records has no cutoff
-    row. Repeated rows count as often as they are given; extra columns stay.
+    row. Repeated rows count as often as they are given; extra columns stay,
+    whatever their names. NaN scores count like null ones.
     """
-    rows = records.dropna(subset=[source, score, identifier]).where(F.col(source).isin(*targets))
-    table = ranked(rows, source, score, identifier)
-    report = cut(cutoffs(table, source, score, targets), "cutoffs")
-    limits = report.select(F.col(source).alias("_source"), F.col("cutoff").alias("_cutoff"))
-    kept = table.join(F.broadcast(limits), (table[source] == limits["_source"]) & (table[score] >= limits["_cutoff"]))
-    return kept.select(*records.columns), report
+    keys = {source: "g", score: "s", identifier: "i"}
+    inner = {c: keys.get(c, f"x{k}") for k, c in enumerate(records.columns)}
+    rows = records.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()]).dropna(subset=["g", "s", "i"]).where(F.col("g").isin(*targets))
+    table = ranked(rows, "g", "s", "i")
+    report = cut(cutoffs(table, "g", "s", targets), "cutoffs")
+    limits = report.select(F.col("g").alias("_source"), F.col("cutoff").alias("_cutoff"))
+    kept = table.join(F.broadcast(limits), (table["g"] == limits["_source"]) & (table["s"] >= limits["_cutoff"]))
+    return kept.select(*[F.col(x).alias(c) for c, x in inner.items()]), report.withColumnRenamed("g", source)
 
 
 def scored_ids(predictions: DataFrame) -> DataFrame:

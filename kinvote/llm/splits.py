@@ -155,12 +155,18 @@ def allocate(bundles: list[tuple[float, float, int]], shares: list[float]) -> li
     return out
 
 
-def _profile(size: Column, positives: Column, exact: bool) -> Column:
-    """The bundle of a component; if not exact, size to three leading bits and positives to sixteenths."""
-    if exact:
+#: Ways to bundle, from exact to coarse: leading bits of the size, steps of the positive share.
+#: The last one has at most 64 bundles.
+_COARSER = (None, (3, 16), (1, 4), (0, 0))
+
+
+def _profile(size: Column, positives: Column, way: tuple[int, int] | None) -> Column:
+    """The bundle of a component."""
+    if way is None:
         return F.concat_ws("/", size, positives)
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(size)) - 3)).cast("long")
-    return F.concat_ws("/", F.floor(size / step) * step, F.round(positives / size * 16).cast("int"))
+    bits, steps = way
+    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(size)) - bits)).cast("long")
+    return F.concat_ws("/", F.floor(size / step) * step, F.round(positives / size * steps).cast("int"))
 
 
 def assign(records: DataFrame, grouped: DataFrame, label: str = "label", shares: dict[str, float] = SPLITS) -> DataFrame:
@@ -172,7 +178,8 @@ def assign(records: DataFrame, grouped: DataFrame, label: str = "label", shares:
     are solved per bundle (see ``allocate``), and within a bundle the groups
     are put in the order of a hash and counted off by exact positions, so a
     bundle of any size is spread over tasks. If there are more than
-    ``MAX_BUNDLES`` different bundles, similar sizes and profiles are bundled.
+    ``MAX_BUNDLES`` different bundles, similar sizes and profiles are bundled,
+    so that every group is still allocated.
     """
     spark = records.sparkSession
     labels = records.groupBy("id").agg(F.max(label).alias("label"))
@@ -180,11 +187,13 @@ def assign(records: DataFrame, grouped: DataFrame, label: str = "label", shares:
         grouped.join(labels, "id", "left").groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), F.sum((F.coalesce("label", F.lit(0)) == 1).cast("long")).alias("positives")),
         "profiles",
     )
-    for exact in (True, False):
-        bundled = profiles.withColumn("_bundle", _profile(F.col("size"), F.col("positives"), exact))
+    for way in _COARSER:
+        bundled = profiles.withColumn("_bundle", _profile(F.col("size"), F.col("positives"), way))
         bundles = bundled.groupBy("_bundle").agg(F.sum("size").alias("rows"), F.sum("positives").alias("positives"), F.count(F.lit(1)).alias("n")).limit(MAX_BUNDLES + 1).collect()
         if len(bundles) <= MAX_BUNDLES:
             break
+    else:
+        raise ValueError("MAX_BUNDLES must be at least 64")
     bundles.sort(key=lambda b: b["_bundle"])
     counts = allocate([(b["rows"] / b["n"], b["positives"] / b["n"], b["n"]) for b in bundles], list(shares.values()))
     bounds = []

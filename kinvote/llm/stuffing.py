@@ -285,10 +285,10 @@ def judged(documents: DataFrame, text: str = "text", model: LineModel | None = N
 
     Every text is read whole. Null and empty texts have no characters and share
     0. Repeated rows are judged alike; an empty table gives an empty result.
-    Further columns are kept; they must not be named like the added ones.
+    Further columns are kept; those named like an added one are replaced.
     """
     known = documents.sparkSession.sparkContext.broadcast(pickle.dumps(model or fitted(documents, text)))  # some MB at most: the vocabulary of FIT_PAGES pages
-    rest = [f for f in documents.schema.fields if f.name != text]
+    rest = [f for f in documents.schema.fields if f.name != text and f.name.lower() not in JUDGED.names]
     schema = T.StructType([*rest, *JUDGED.fields])
     arrow = to_arrow_schema(schema)
 

@@ -42,11 +42,11 @@ def measured(documents: DataFrame, text: str = "text", vocabulary: str = VOCABUL
     ``n_tokens`` counts the tokens of the whole text (null and empty: 0).
     ``content`` is a hash of the text ignoring case and white space, equal for
     exact copies; null for texts without a visible character. Other columns
-    are kept as they are and must not be named like the added ones. Each text
+    are kept; those named like an added one are replaced. Each text
     is encoded once; texts cross to Python in Arrow batches and stay there.
     """
     path = vocabulary_path(vocabulary)
-    rest = [f for f in documents.schema.fields if f.name != text]
+    rest = [f for f in documents.schema.fields if f.name != text and f.name.lower() not in ("n_tokens", "content")]
     schema = T.StructType([*rest, T.StructField("n_tokens", T.LongType()), T.StructField("content", T.LongType())])
     arrow = to_arrow_schema(schema)
 

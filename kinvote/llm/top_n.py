@@ -17,12 +17,15 @@ def top_per_group(items: DataFrame, group: str, score: str, identifier: str, n:
     sums over the partitions. Ties in the score go to the smaller identifier;
     rows equal in both are separate items in no stated order. Rows with a null
     group, score or identifier belong to no ranking and do not come out. An
-    empty table gives an empty result. Further columns are kept; they must not
-    begin with an underscore. ``n`` below 1 gives no rows.
+    empty table gives an empty result. Further columns are kept, but one named
+    ``position`` is replaced by the result's. ``n`` below 1 gives no rows.
+    NaN scores count like null ones.
     """
-    rows = items.dropna(subset=[group, score, identifier])
-    table = numbered(rows, group, [f"-{score}", identifier], keep=max(n, 0))
-    return positioned(table, group).where(F.col("_pos") <= n).select(*items.columns, F.col("_pos").alias("position"))
+    keys = {group: "g", score: "s", identifier: "i"}
+    inner = {c: keys.get(c, f"x{k}") for k, c in enumerate(items.columns)}
+    rows = items.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()]).dropna(subset=["g", "s", "i"])
+    placed = positioned(numbered(rows, "g", ["-s", "i"], keep=max(n, 0)), "g").where(F.col("_pos") <= n)
+    return placed.select(*[F.col(x).alias(c) for c, x in inner.items() if c.lower() != "position"], F.col("_pos").alias("position"))
 
 
 def best_scores(predictions: DataFrame) -> DataFrame:
