@@ -22,12 +22,9 @@ _written: list[tuple[SparkSession, str]] = []
 
 def folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
-    at = spark.sparkContext.getConf().get(_SETTING)
+    at = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING) or spark.sparkContext.getCheckpointDir()
     if at:
-        return at
-    at = spark.sparkContext.getCheckpointDir()
-    if at:
-        return at
+        return at.rstrip("/")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="kinvote-"))
     return f"file://{_local[0]}"
