@@ -17,6 +17,8 @@ from kinvote.sources.scratch import cut
 CAPACITY = 4096
 #: Tokens of items that one task packs; a parameter of the parallelism, not of the result's validity.
 SHARD_TOKENS = 4_000_000
+#: Items of a shard at most on average, for texts of a few tokens.
+SHARD_ITEMS = 200_000
 #: Containers with more unused space than this share are packed again with others.
 LOOSE = 0.02
 MERGE = 64
@@ -156,8 +158,8 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, source_share: fl
     rest = rows.select("item", F.when(F.col("n") > capacity, full).otherwise(F.lit(0)).alias("piece"), F.when(F.col("n") > capacity, F.col("n") % capacity).otherwise(F.col("n")).alias("n_tokens"), "n", "source", "content")
     empty = rest.where(F.col("n") == 0).select(F.lit(None).cast("string").alias("bin_id"), "item", "piece", F.lit(0).cast("long").alias("start"), "n_tokens", F.lit(0).cast("long").alias("used"))
     rest = rest.where(F.col("n_tokens") > 0).drop("n")
-    total = rest.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
+    total, count = rest.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    shards = max(1, -(-total // shard_tokens), -(-count // SHARD_ITEMS))
     first = cut(_packed(rest, F.pmod(F.xxhash64("item", "piece"), F.lit(shards)), "a", capacity, source_share), "packed")
     loose = F.col("used") < int(capacity * (1 - LOOSE))
     group = F.floor(F.regexp_extract("bin_id", r"a(\d+)-", 1).cast("long") / MERGE)

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from kinvote.llm.tokens import pieces
+
 PROSE, LINKS, TAGS, MENU, DATA = range(5)
 LABELS = ("prose", "links", "tags", "menu", "data")
 K = len(LABELS)
@@ -275,7 +277,8 @@ def fitted(documents: DataFrame, text: str = "text", pages: int = FIT_PAGES) ->
     """A model of a hash sample of at most ``pages`` different texts."""
     spread = documents.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     total = spread.count()
-    bound = F.lit(int(2**63 * (2 * min(1.0, pages / total) - 1)) - 1 if total else 0)
+    share = min(1.0, 0.95 * pages / total) if total else 0.0  # a little less, so that the limit hardly ever binds
+    bound = F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1))
     rows = spread.where(F.col("h") <= bound).dropDuplicates(["h"]).limit(pages).collect()
     return LineModel.fit(r["t"] for r in sorted(rows, key=lambda r: r["h"]))
 
@@ -295,7 +298,7 @@ def judged(documents: DataFrame, text: str = "text", model: LineModel | None = N
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(known.value)
         for batch in batches:
-            results = [model.judge(t) for t in batch.column(text).to_pylist()]
+            results = [model.judge(t) for t in pieces(batch.column(text))]
             added = [pa.array([r[0][x] for r in results], "i8") for x in LABELS]
             added.append(pa.array([r[1] for r in results], "f8"))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name).cast(arrow.field(f.name).type) for f in rest), *added], schema=arrow)

@@ -36,6 +36,12 @@ def encoder(path: str):
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def pieces(column: pa.Array, size: int = 128) -> Iterator[str | None]:
+    """The values of a text column, of which only a few are Python objects at a time."""
+    for lo in range(0, len(column), size):
+        yield from column.slice(lo, size).to_pylist()
+
+
 def measured(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``documents`` without ``text`` but with ``n_tokens`` and ``content``.
 
@@ -56,7 +62,7 @@ def measured(documents: DataFrame, text: str = "text", vocabulary: str = VOCABUL
         encode = encoder(path).encode_ordinary
         for batch in batches:
             sizes, hashes = [], []
-            for value in batch.column(text).to_pylist():
+            for value in pieces(batch.column(text)):
                 words = value.lower().split() if value else ()
                 sizes.append(len(encode(value)) if value else 0)
                 hashes.append(xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63) if words else None)
