@@ -125,8 +125,8 @@ def _best(near: np.ndarray, refs: np.ndarray, names: np.ndarray | None, k: int |
     return rows, at, value
 
 
-def _block_pairs(queries: DataFrame, refs: DataFrame, k: int | None, metric: str, threshold: float | None, pre_normalized: bool, dedupe: bool = False) -> DataFrame:
-    """Candidates of all block pairs; with ``k`` only the best k of each query and bank."""
+def _met(q: DataFrame, r: DataFrame, keys: list[str], k: int | None, metric: str, threshold: float | None, pre_normalized: bool, dedupe: bool) -> DataFrame:
+    """Candidates of the blocks that share ``keys``; with ``k`` only the best k of each query and bank."""
     arrow = to_arrow_schema(NEIGHBORS)
 
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
@@ -144,8 +144,13 @@ def _block_pairs(queries: DataFrame, refs: DataFrame, k: int | None, metric: str
             parts.append(pa.table({"aspect_key": pa.array([bank] * len(rows), "string"), "query_pos": qp[rows], "ref_pos": at, "distance": value}, schema=arrow))
         return pa.concat_tables(parts) if parts else arrow.empty_table()
 
-    q, r = _meeting(queries.select("query_pos", "embedding"), refs.select("ref_pos", "ref_accession", "embedding", "banks"))
-    return q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInArrow(meet, NEIGHBORS)
+    q, r = q.select(*keys, "query_pos", "embedding"), r.select(*keys, "ref_pos", "ref_accession", "embedding", "banks")
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(meet, NEIGHBORS)
+
+
+def _block_pairs(queries: DataFrame, refs: DataFrame, k: int | None, metric: str, threshold: float | None, pre_normalized: bool, dedupe: bool = False) -> DataFrame:
+    """Candidates of every query block against every reference block."""
+    return _met(*_meeting(queries, refs), ["_qb", "_rb"], k, metric, threshold, pre_normalized, dedupe)
 
 
 def _jvm_pairs(queries: DataFrame, refs: DataFrame, metric: str, pre_normalized: bool) -> DataFrame:
@@ -169,26 +174,36 @@ def _placed(vectors: DataFrame, cells: Callable[[np.ndarray], list[np.ndarray]])
     return vectors.mapInArrow(place, schema)
 
 
-def _within_cells(queries: DataFrame, refs: DataFrame, metric: str, pre_normalized: bool) -> DataFrame:
-    """Pairs that share a cell, each once."""
-    q = queries.select("query_pos", doubles("embedding").alias("q"), "cell")
-    r = refs.select("ref_pos", doubles("embedding").alias("r"), "cell", F.explode("banks").alias("aspect_key"))
-    d = F.round(distance("q", "r", metric, pre_normalized), DECIMALS)
-    return q.join(r, "cell").select("aspect_key", "query_pos", "ref_pos", d.alias("distance")).distinct()
+def _within_cells(queries: DataFrame, refs: DataFrame, *how) -> DataFrame:
+    """Best candidates among the pairs that share a cell, each pair once.
+
+    A cell with many rows is cut into blocks like the whole table is, so no
+    task ever holds a cell.
+    """
+    q, r = cut(queries, "query-cells"), cut(refs, "ref-cells")
+    over = lambda rows, size, name: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    blocks = cut(over(q, QUERY_BLOCK, "_a").join(over(r, REF_BLOCK, "_b"), "cell"), "cell-blocks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(blocks, "cell").withColumn("_qb", F.pmod(F.xxhash64("query_pos"), "_a").cast("int")).withColumn("_rb", every("_b"))
+    r = r.join(blocks, "cell").withColumn("_rb", F.pmod(F.xxhash64("ref_pos"), "_b").cast("int")).withColumn("_qb", every("_a"))
+    return _met(q, r, ["cell", "_qb", "_rb"], *how).distinct()
 
 
-def _cell_pairs(queries: DataFrame, refs: DataFrame, metric: str, pre_normalized: bool, nlist: int, nprobe: int, seed: int, sample: int) -> DataFrame:
+def _cell_pairs(queries: DataFrame, refs: DataFrame, how: tuple, metric: str, nlist: int, nprobe: int, seed: int, sample: int) -> DataFrame:
     """Inverted lists: cells by k-means on a bounded sample; a query meets its ``nprobe`` nearest cells."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     v = doubles("embedding")
     unit = F.transform(v, lambda x: x / (norm(v) + EPSILON)) if metric == "cosine" else v
-    fit = refs.orderBy(F.xxhash64("ref_pos"), "ref_pos").limit(sample).select(array_to_vector(unit).alias("features"))
-    n = fit.count()
-    if not n:
-        return queries.sparkSession.createDataFrame([], NEIGHBORS)
-    centres = np.array(KMeans(k=max(1, min(nlist, n)), seed=seed, maxIter=10).fit(fit).clusterCenters())
+    fit = refs.orderBy(F.xxhash64("ref_pos"), "ref_pos").limit(sample).select(array_to_vector(unit).alias("features")).persist()
+    try:
+        n = fit.count()
+        if not n:
+            return queries.sparkSession.createDataFrame([], NEIGHBORS)
+        centres = np.array(KMeans(k=max(1, min(nlist, n)), seed=seed, maxIter=10).fit(fit).clusterCenters())
+    finally:
+        fit.unpersist()
 
     def nearest(count: int) -> Callable[[np.ndarray], list[np.ndarray]]:
         def cells(x: np.ndarray) -> list[np.ndarray]:
@@ -199,10 +214,10 @@ def _cell_pairs(queries: DataFrame, refs: DataFrame, metric: str, pre_normalized
 
         return cells
 
-    return _within_cells(_placed(queries.select("query_pos", "embedding"), nearest(nprobe)), _placed(refs.select("ref_pos", "embedding", "banks"), nearest(1)), metric, pre_normalized)
+    return _within_cells(_placed(queries.select("query_pos", "embedding"), nearest(nprobe)), _placed(refs.select("ref_pos", "ref_accession", "embedding", "banks"), nearest(1)), *how)
 
 
-def _hash_pairs(queries: DataFrame, refs: DataFrame, metric: str, pre_normalized: bool, tables: int, bits: int, seed: int, dim: int) -> DataFrame:
+def _hash_pairs(queries: DataFrame, refs: DataFrame, how: tuple, tables: int, bits: int, seed: int, dim: int) -> DataFrame:
     """Random hyperplane hashes: a query meets the references that share its bucket in any table."""
     planes = np.random.default_rng(seed).normal(size=(tables, max(dim, 1), bits))
     weights = 1 << np.arange(bits)
@@ -210,7 +225,7 @@ def _hash_pairs(queries: DataFrame, refs: DataFrame, metric: str, pre_normalized
     def buckets(x: np.ndarray) -> list[np.ndarray]:
         return [((x @ p > 0) @ weights) + (i << bits) for i, p in enumerate(planes)]
 
-    return _within_cells(_placed(queries.select("query_pos", "embedding"), buckets), _placed(refs.select("ref_pos", "embedding", "banks"), buckets), metric, pre_normalized)
+    return _within_cells(_placed(queries.select("query_pos", "embedding"), buckets), _placed(refs.select("ref_pos", "ref_accession", "embedding", "banks"), buckets), *how)
 
 
 def distance_matrix(queries: DataFrame, refs: DataFrame, metric: str = "cosine", dim: int | None = None) -> DataFrame:
@@ -261,14 +276,17 @@ def knn_join(
         r = r.join(banks.groupBy("ref_pos").agg(F.collect_set("aspect").alias("banks")), "ref_pos")
     if strategy == "auto":
         strategy = "jvm" if queries.count() * refs.count() <= JVM_PAIRS else "block"
-    if strategy == "block":
-        pairs = _block_pairs(q, r, k, metric, distance_threshold, pre_normalized, dedupe) if k else q.sparkSession.createDataFrame([], NEIGHBORS)
+    how = (k, metric, distance_threshold, pre_normalized, dedupe)
+    if not k:
+        pairs = q.sparkSession.createDataFrame([], NEIGHBORS)
+    elif strategy == "block":
+        pairs = _block_pairs(q, r, *how)
     elif strategy == "jvm":
         pairs = _jvm_pairs(q, r, metric, pre_normalized)
     elif strategy == "ivf":
-        pairs = _cell_pairs(q, r, metric, pre_normalized, nlist, nprobe, seed, sample)
+        pairs = _cell_pairs(q, r, how, metric, nlist, nprobe, seed, sample)
     else:
-        pairs = _hash_pairs(q, r, metric, pre_normalized, tables, bits, seed, dim)
+        pairs = _hash_pairs(q, r, how, tables, bits, seed, dim)
     if distance_threshold is not None:  # keeps a prefix of every ranking, so it may go below it
         pairs = pairs.where(F.col("distance") <= distance_threshold)
     order = [F.col("distance"), F.col("ref_pos")]
