@@ -125,3 +125,13 @@ def with_pca(rows: DataFrame, queries: DataFrame, state) -> DataFrame:
     points = project(queries, state).select("query_pos", *[F.col("projection")[i].alias(PCA_KEYS[i]) for i in range(there)])
     out = rows.join(points, "query_pos", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(NAN)) if i < there else F.lit(NAN) for i, c in enumerate(PCA_KEYS)})
+
+
+def enrich_v6_features(
+    rows: DataFrame, neighbors: DataFrame, annotations: DataFrame, terms: DataFrame, queries: DataFrame, *,
+    term_vectors: DataFrame | None = None, pair_features: DataFrame | None = None, pca_state=None, compute_taxonomy: bool = False,
+) -> DataFrame:
+    """All of the above on voted rows; without ``compute_taxonomy`` the voters' columns are NaN."""
+    out = with_term_features(rows, neighbors, annotations, terms, term_vectors)
+    out = with_taxonomy_voters(out, neighbors, annotations, pair_features if compute_taxonomy else None)
+    return with_pca(out, queries, pca_state)

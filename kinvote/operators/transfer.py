@@ -70,9 +70,9 @@ def predict(
     rows = votes.with_pair_features(votes.with_aggregates(rows, annotations), pair_features)
     rows = rows.withColumn("prediction_set_id", F.lit(config.prediction_set_id).cast("string"))
     if config.compute_v6_features:
-        rows = enrich.with_term_features(rows, near, annotations, terms, term_vectors)
-        rows = enrich.with_taxonomy_voters(rows, near, annotations, pair_features if config.compute_taxonomy else None)
-        rows = enrich.with_pca(rows, queries, pca_state)
+        rows = enrich.enrich_v6_features(
+            rows, near, annotations, terms, queries, term_vectors=term_vectors, pair_features=pair_features, pca_state=pca_state, compute_taxonomy=config.compute_taxonomy
+        )
     if models_by_aspect:
         rows = score_by_aspect(written(rows), models_by_aspect, feature_cols, config.calibration)
     elif model is not None:

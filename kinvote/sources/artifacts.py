@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinvote.functions.vectors import finite
+from kinvote.operators.enrich import term_vector_batch
 from kinvote.operators.pca import PcaState, fit_embedding_pca
 from kinvote.operators.score import TreeEnsemble, load_from_bytes, model_from_table
 
@@ -46,6 +48,36 @@ def read_term_vectors(spark: SparkSession, path: str | None = None) -> DataFrame
     return spark.createDataFrame(rows, _VECTORS)
 
 
+class TermVectorIndex:
+    """Term vectors with look-ups; the table is kept in the executors' storage."""
+
+    def __init__(self, vectors: DataFrame) -> None:
+        self.table = vectors.dropna(subset=["go_id", "embedding"]).dropDuplicates(["go_id"]).persist()
+        first = self.table.select(F.size("embedding").alias("dim"), "release").first()
+        self.dim, self.release = (first["dim"], first["release"]) if first else (0, "")
+
+    def __len__(self) -> int:
+        return self.table.count()
+
+    def __contains__(self, go_id: str) -> bool:
+        return bool(self.table.where(F.col("go_id") == go_id).limit(1).count())
+
+    def vec(self, go_id: str) -> list[float] | None:
+        """The vector of one term, None if there is none."""
+        row = self.table.where(F.col("go_id") == go_id).first()
+        return list(row["embedding"]) if row else None
+
+    def batch(self, terms: DataFrame, zero_if_missing: bool = True) -> DataFrame:
+        """(go_id, embedding, found) for the terms of a table."""
+        return term_vector_batch(terms, self.table, self.dim, zero_if_missing)
+
+
+@functools.lru_cache(maxsize=2)
+def get_index(spark: SparkSession, path: str | None = None) -> TermVectorIndex:
+    """The index of a path, once per process."""
+    return TermVectorIndex(read_term_vectors(spark, path))
+
+
 def save_pca_state(spark: SparkSession, state: PcaState, config_id: str, directory: str | None = None) -> None:
     """Write a state as Parquet under ``directory`` / ``config_id``; row -1 is the mean."""
     rows = [(-1, state.mean), *enumerate(state.components)]

@@ -150,10 +150,20 @@ def test_pca_agrees_with_svd(spark, tmp_path):
         fit_embedding_pca(rows.limit(0))
 
 
+def test_public_names():
+    from kinvote import api
+
+    assert all(hasattr(api, name) for name in api.__all__)
+
+
 def test_term_vector_archive(spark, tmp_path):
     np.savez(tmp_path / "v.npz", embeddings=np.eye(3, dtype="f4"), go_ids=np.array(["a", "b", "c"], dtype=object), ontology_release="r1")
     rows = artifacts.read_term_vectors(spark, f"file://{tmp_path}/v.npz")
     assert {(r["go_id"], tuple(r["embedding"]), r["release"]) for r in rows.collect()} == {("a", (1.0, 0.0, 0.0), "r1"), ("b", (0.0, 1.0, 0.0), "r1"), ("c", (0.0, 0.0, 1.0), "r1")}
+    index = artifacts.get_index(spark, f"file://{tmp_path}/v.npz")
+    assert index is artifacts.get_index(spark, f"file://{tmp_path}/v.npz")
+    assert (len(index), index.dim, index.release, "a" in index, "z" in index, index.vec("b"), index.vec("z")) == (3, 3, "r1", True, False, [0.0, 1.0, 0.0], None)
+    assert {r["go_id"]: r["embedding"] for r in index.batch(rows.select("go_id")).collect()}["c"] == [0.0, 0.0, 1.0]
     with pytest.raises(FileNotFoundError):
         artifacts.read_term_vectors(spark, f"file://{tmp_path}/none.npz")
     batch = {r["go_id"]: r for r in enrich.term_vector_batch(spark.createDataFrame([("a",), ("z",), (None,)], "go_id string"), rows, 3, zero_if_missing=False).collect()}
