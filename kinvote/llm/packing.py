@@ -153,7 +153,7 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, source_share: fl
     whole = (
         rows.where(F.col("n") > capacity)
         .select("item", "n", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
-        .select(F.concat_ws("-", F.lit("c"), F.col("item"), F.col("piece")).alias("bin_id"), "item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit(capacity).cast("long").alias("used"))
+        .select(F.concat_ws("-", F.lit("c"), F.monotonically_increasing_id()).alias("bin_id"), "item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit(capacity).cast("long").alias("used"))
     )
     rest = rows.select("item", F.when(F.col("n") > capacity, full).otherwise(F.lit(0)).alias("piece"), F.when(F.col("n") > capacity, F.col("n") % capacity).otherwise(F.col("n")).alias("n_tokens"), "n", "source", "content")
     empty = rest.where(F.col("n") == 0).select(F.lit(None).cast("string").alias("bin_id"), "item", "piece", F.lit(0).cast("long").alias("start"), "n_tokens", F.lit(0).cast("long").alias("used"))

@@ -45,7 +45,7 @@ def test_sources_share_bins():
 def test_containers(spark, shard_tokens):
     r = random.Random(1)
     data = [(i, r.choice([0, None, 5, 40, 99, 100, 101, 350, r.randrange(1, 100)]), r.choice(["a", "b", None]), r.choice([None, i, i % 9]), "clash") for i in range(400)]
-    data += [(1000, 5, "a", 3, "x")] * 3
+    data += [(1000, 5, "a", 3, "x"), (1001, 230, "a", 3, "x"), (None, 150, "b", None, "x")] * 3
     got = packing.fill_containers(spark.createDataFrame(data, ITEMS), 100, shard_tokens=shard_tokens).collect()
     want = Counter()
     for i, n, *_ in data:
@@ -60,8 +60,8 @@ def test_containers(spark, shard_tokens):
             assert x["start"] == 100 * x["piece"]
     assert sizes == want and set(sizes) == set(want)
     assert all(x["used"] == used[x["bin_id"]] <= 100 for x in got if x["bin_id"])
-    pieces = Counter(x["item"] for x in got if x["item"] < 1000)
-    assert all(pieces[i] == max(1, -(-(n or 0) // 100)) for i, n, *_ in data if i < 1000)
+    pieces = Counter(x["item"] for x in got if x["item"] is not None and x["item"] < 1000)
+    assert all(pieces[i] == max(1, -(-(n or 0) // 100)) for i, n, *_ in data if i is not None and i < 1000)
     assert len(used) <= 1.15 * sum(want.values()) / 100 + 3
 
 
