@@ -56,11 +56,26 @@ _CLASSES = 8
 _SIZES = (7, 2, 3, 4, 3, 5, 2, 3, 3)
 
 
+# One-byte charsets under which UTF-8 pages are often read by mistake.
+_MISREAD = ("cp1252", "latin-1", "koi8-r", "cp1251")
+
+
+def readable(line: str) -> str:
+    """A line that was UTF-8 but read under another charset, put right; any other line as it is."""
+    if not line.isascii():
+        for charset in _MISREAD:
+            try:
+                return line.encode(charset).decode("utf-8")
+            except UnicodeError:
+                pass
+    return line
+
+
 def segments(text: str) -> list[tuple[int, str]]:
     """(line number, segment) of all lines that hold a word."""
     out = []
     for i, line in enumerate(text.split("\n")):
-        line = line.strip()
+        line = readable(line).strip()
         if not line:
             continue
         if line.count(" ") <= 1.5 * SEGMENT:
@@ -222,7 +237,9 @@ class LineModel:
             both = fixed[1:] & fixed[:-1]
             np.add.at(moves, (own[:-1][both], own[1:][both]), 1)
         share = lambda x: np.log(x / x.sum(0))
-        return cls(vocabulary, share(words), [share(f) for f in features], np.log(start / start.sum()), np.log(moves / moves.sum(1, keepdims=True)))
+        table = share(words)
+        table[_BROKEN] = 0.0  # what can't be read says nothing
+        return cls(vocabulary, table, [share(f) for f in features], np.log(start / start.sum()), np.log(moves / moves.sum(1, keepdims=True)))
 
     def scores(self, p: Page) -> np.ndarray:
         """Log likelihood of each segment under each label; long segments count less than their words."""

@@ -74,6 +74,13 @@ def test_labels_and_dirty_rows(spark, corpus):
     assert next(x for x in rows if x["doc_id"] == 4)["menu_chars"] > 0
 
 
+@pytest.mark.parametrize("line", ["Où est l’été?", "Это старый дом", "größer – ¿más?", "plain"])
+def test_misread_lines_are_put_right(line):
+    assert stuffing.readable(line) == line
+    for charset in ("latin-1", "koi8-r"):
+        assert stuffing.readable(line.encode().decode(charset)) == line
+
+
 def test_empty_table(spark):
     assert stuffing.stuffed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
