@@ -14,6 +14,13 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether ``links`` is a star forest: one link per node, and no node that is linked has a link below it."""
+    roles = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    each = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not each.where("up > 1 or (up > 0 and down > 0)").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of undirected ``edges`` (u L, v L); root is the least node of the component.
 
@@ -27,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     links = cut(links, "links")
-    while True:
+    while not _settled(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         stars = _stars(large)
@@ -35,10 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut(small, "links")
         drop(links)
         links = after
-        each = links.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        # A star forest: one link per node, and no node that is linked has a link below it.
-        several = each.where("n > 1").limit(1).count()
-        if not several and not links.join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count():
-            break
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return cut(links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
