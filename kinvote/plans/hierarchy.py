@@ -34,7 +34,7 @@ def p4_paths(spark, at):
 
 
 def p4_descendants(spark, at):
-    return _hierarchy(spark, at).descendants().select(_named("node").alias("go_id"), F.transform("descendants", clean.term_id).alias("descendants"))
+    return _hierarchy(spark, at).descendants().select(_named("node").alias("go_id"), F.size("descendants").cast("long").alias("n"), F.array_join(F.transform("descendants", clean.term_id), ",").alias("descendants"))
 
 
 def p4_back_links(spark, at):
@@ -50,5 +50,5 @@ WITH RECURSIVE l AS (SELECT DISTINCT regexp_extract(go_id, '(\d+)', 1)::BIGINT c
 QUERIES = {"p4_found": p4_found, "p4_terms": p4_terms, "p4_paths": p4_paths, "p4_descendants": p4_descendants, "p4_back_links": p4_back_links}
 SQL = {
     "p4_found": _REACH + "SELECT 'GO:' || lpad(c::VARCHAR, 7, '0') go_id FROM r WHERE c = p",
-    "p4_descendants": _REACH + "SELECT 'GO:' || lpad(p::VARCHAR, 7, '0') go_id, list('GO:' || lpad(c::VARCHAR, 7, '0') ORDER BY c) descendants FROM r WHERE c <> p GROUP BY p",
+    "p4_descendants": _REACH + "SELECT 'GO:' || lpad(p::VARCHAR, 7, '0') go_id, count(*) n, string_agg('GO:' || lpad(c::VARCHAR, 7, '0'), ',' ORDER BY c) descendants FROM r WHERE c <> p GROUP BY p",
 }
