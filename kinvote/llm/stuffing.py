@@ -34,6 +34,8 @@ K = len(LABELS)
 
 #: Pages that the model is fitted on at most; a sample by hash, whatever the size of the corpus.
 FIT_PAGES = 5_000
+#: Characters of that sample at most on average, for corpora of very long pages.
+FIT_CHARS = 40_000_000
 ROUNDS = 3
 #: Words of a segment: longer lines are divided at the ends of sentences, or at twice this length.
 SEGMENT = 24
@@ -291,10 +293,10 @@ JUDGED = T.StructType([*(T.StructField(f"{x}_chars", T.LongType()) for x in LABE
 
 
 def fitted(documents: DataFrame, text: str = "text", pages: int = FIT_PAGES) -> LineModel:
-    """A model of a hash sample of at most ``pages`` different texts."""
+    """A model of a hash sample of at most ``pages`` different texts and about ``FIT_CHARS`` characters."""
     spread = documents.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    total = spread.count()
-    share = min(1.0, 0.95 * pages / total) if total else 0.0  # a little less, so that the limit hardly ever binds
+    total, chars = spread.agg(F.count(F.lit(1)), F.sum(F.length("t").cast("long"))).first()
+    share = min(1.0, 0.95 * pages / total, FIT_CHARS / chars) if total else 0.0  # a little less, so that the limit hardly ever binds
     bound = F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1))
     rows = spread.where(F.col("h") <= bound).dropDuplicates(["h"]).limit(pages).collect()
     return LineModel.fit(r["t"] for r in sorted(rows, key=lambda r: r["h"]))
