@@ -4,9 +4,11 @@ Unit vectors are projected onto a few random orthogonal directions, shifted at
 random and numbered along a Hilbert curve; this is done for several curves. On
 each curve the references and queries are sorted together by range, and a query
 takes the references in the window of neighbouring keys around its place. The
-windows of all curves are merged, ranked by one-byte vectors, and the best few
-are ranked again with the original numbers. Windows that reach over the end of
-a partition are completed from the rows that both sides give to that boundary.
+windows of all curves are merged and ranked by one-byte vectors, and the best
+few accessions are ranked again with the original numbers. Windows that reach
+over the end of a partition are completed from the rows that both sides give to
+that boundary. Queries for which the curves do not give enough are searched
+once more, exactly, in blocks of queries and references.
 """
 
 from __future__ import annotations
@@ -27,15 +29,18 @@ from kinvote.sources.scratch import cut
 
 _CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("code", T.BinaryType())])
 _KEYS = T.StructType(
-    [T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("code", T.BinaryType())]
+    [T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("code", T.BinaryType())]
 )
 _HITS = T.StructType(
-    [T.StructField("query_id", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("similarity", T.FloatType()), T.StructField("edge", T.StringType()), T.StructField("place", T.LongType()), T.StructField("code", T.BinaryType())]
+    [T.StructField("query_id", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("similarity", T.FloatType()), T.StructField("edge", T.StringType()), T.StructField("place", T.LongType()), T.StructField("code", T.BinaryType())]
 )
-_PAIRS = T.StructType(_HITS.fields[:3])
+_PAIRS = T.StructType(_HITS.fields[:4])
+_MET = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("distance", T.DoubleType())])
 
 #: Rows of a sorted partition on average at most.
 TASK_ROWS = 400_000
+#: Rows of a block of the exact search at most, and of its queries that are multiplied at a time.
+QUERY_BLOCK, REF_BLOCK, STEP = 2048, 8192, 256
 
 
 @dataclass(frozen=True)
@@ -44,8 +49,10 @@ class Curves:
 
     ``sample`` is the most rows that the grid's centre and widths are taken
     from; every vector is indexed. ``window`` counts the references on either
-    side, ``keep`` the candidates of one window and ``final`` those of a query
-    that are ranked exactly.
+    side, ``keep`` the accessions of one window and ``final`` those of a query
+    that are ranked exactly, each by its best vector. A query one of whose
+    nearest accessions was seen on fewer than ``agree`` curves is in doubt:
+    where one curve alone finds a neighbour, others are likely missed by all.
     """
 
     dim: int = 64
@@ -55,6 +62,7 @@ class Curves:
     window: int = 32
     keep: int = 12
     final: int = 20
+    agree: int = 2
     seed: int = 7
     sample: int = 10_000
     centre: np.ndarray = field(default=None, repr=False)
@@ -75,7 +83,7 @@ class Curves:
             unit = np.zeros((1, self.dim))
         centre = unit.mean(0)
         width = np.stack([np.maximum(((unit - centre) @ p).std(0), 1e-6) for p in self.projections()])
-        return Curves(self.dim, self.count, self.axes, self.bits, self.window, self.keep, self.final, self.seed, self.sample, centre, width)
+        return Curves(self.dim, self.count, self.axes, self.bits, self.window, self.keep, self.final, self.agree, self.seed, self.sample, centre, width)
 
     def keys(self, unit: np.ndarray) -> list[np.ndarray]:
         """Per curve the Hilbert numbers of unit vectors: half the grid is room for the shift."""
@@ -166,13 +174,25 @@ def _keyed(codes: DataFrame, curves: Curves, query: bool) -> DataFrame:
             if not n:
                 continue
             for curve, keys in enumerate(curves.keys(_units(_matrix(batch.column("code"), curves.dim)))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, "i4")), pa.array(keys), pa.array(np.full(n, query)), batch.column("id"), batch.column("code")], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, "i4")), pa.array(keys), pa.array(np.full(n, query)), batch.column("id"), batch.column("owner"), batch.column("code")], schema=arrow)
 
     return codes.mapInArrow(key, _KEYS)
 
 
-def _windows(refs: np.ndarray, queries: np.ndarray, at: np.ndarray, curves: Curves) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query index, reference index, similarity) of the best of each window; ``at`` counts the references before a query."""
+def _leading(near: np.ndarray, owners: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``keep`` most similar owners of each row, each at its best column."""
+    order = np.argsort(-near, axis=1, kind="stable")
+    owners = np.take_along_axis(owners, order, 1)
+    by = np.argsort(owners, axis=1, kind="stable")
+    own = np.take_along_axis(owners, by, 1)
+    fresh = np.empty(near.shape, bool)
+    np.put_along_axis(fresh, by, np.concatenate([np.ones((len(own), 1), bool), own[:, 1:] != own[:, :-1]], axis=1), 1)
+    rows, cols = np.nonzero(fresh & (np.cumsum(fresh, axis=1) <= keep))
+    return rows, order[rows, cols]
+
+
+def _windows(refs: np.ndarray, owners: np.ndarray, queries: np.ndarray, at: np.ndarray, curves: Curves) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query index, reference index, similarity) of the best owners of each window; ``at`` counts the references before a query."""
     n, w = len(refs), curves.window
     if not n:
         return
@@ -183,10 +203,8 @@ def _windows(refs: np.ndarray, queries: np.ndarray, at: np.ndarray, curves: Curv
         first = np.clip(at[lo : lo + 512] - w, 0, n - span)
         index = first[:, None] + np.arange(span)
         near = np.einsum("qwd,qd->qw", units[index], part)
-        keep = min(curves.keep, span)
-        best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-        rows = np.repeat(np.arange(lo, lo + len(part)), keep)
-        yield rows, np.take_along_axis(index, best, 1).ravel(), np.take_along_axis(near, best, 1).ravel()
+        rows, cols = _leading(near, owners[index], curves.keep)
+        yield rows + lo, index[rows, cols], near[rows, cols]
 
 
 def _hits(batches: Iterator[pa.RecordBatch], curves: Curves) -> Iterator[pa.RecordBatch]:
@@ -198,17 +216,18 @@ def _hits(batches: Iterator[pa.RecordBatch], curves: Curves) -> Iterator[pa.Reco
     if not table.num_rows:
         return
     curve, query, ids = (table[c].to_numpy() for c in ("curve", "query", "id"))
+    owners = table["owner"].to_numpy()
     codes = _matrix(table["code"].chunk(0), curves.dim)
     runs = np.flatnonzero(np.diff(curve, prepend=curve[0] - 1))
     for k, lo in enumerate(runs):
         hi = runs[k + 1] if k + 1 < len(runs) else len(curve)
-        q, own, code = query[lo:hi], ids[lo:hi], codes[lo:hi]
+        q, own, owner, code = query[lo:hi], ids[lo:hi], owners[lo:hi], codes[lo:hi]
         before = np.cumsum(~q)
         refs, asks = np.flatnonzero(~q), np.flatnonzero(q)
         at = before[asks]
-        for rows, hits, near in _windows(code[refs], code[asks], at, curves):
+        for rows, hits, near in _windows(code[refs], owner[refs], code[asks], at, curves):
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(own[asks][rows]), pa.array(own[refs][hits]), pa.array(near.astype("f4")), pa.nulls(n, "string"), pa.nulls(n, "int64"), pa.nulls(n, "binary")], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(own[asks][rows]), pa.array(own[refs][hits]), pa.array(owner[refs][hits]), pa.array(near.astype("f4")), pa.nulls(n, "string"), pa.nulls(n, "int64"), pa.nulls(n, "binary")], schema=arrow)
         sides = []
         if k == 0:
             sides.append((f"{curve[lo]}:{pid - 1}", 1, before <= w))
@@ -218,7 +237,7 @@ def _hits(batches: Iterator[pa.RecordBatch], curves: Curves) -> Iterator[pa.Reco
             rows = np.flatnonzero(mask)
             place = (side << 40) + rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[rows], mask=~q[rows]), pa.array(own[rows], mask=q[rows]), pa.nulls(len(rows), "float32"), pa.array([edge] * len(rows), "string"), pa.array(place), _binary(code[rows])], schema=arrow
+                [pa.array(own[rows], mask=~q[rows]), pa.array(own[rows], mask=q[rows]), pa.array(owner[rows]), pa.nulls(len(rows), "float32"), pa.array([edge] * len(rows), "string"), pa.array(place), _binary(code[rows])], schema=arrow
             )
 
 
@@ -229,27 +248,79 @@ def _edge(rows: pa.Table, curves: Curves) -> pa.Table:
     asked = rows["query_id"].is_valid().to_numpy()
     refs, asks = np.flatnonzero(~asked), np.flatnonzero(asked)
     at = np.cumsum(~asked)[asks]
-    parts = list(_windows(codes[refs], codes[asks], at, curves)) if len(asks) else []
+    parts = list(_windows(codes[refs], rows["owner"].to_numpy()[refs], codes[asks], at, curves)) if len(asks) else []
     if not parts:
         return to_arrow_schema(_PAIRS).empty_table()
     q, r, near = (np.concatenate(x) for x in zip(*parts))
-    return pa.table({"query_id": rows["query_id"].take(asks[q]), "ref_id": rows["ref_id"].take(refs[r]), "similarity": near.astype("f4")}, schema=to_arrow_schema(_PAIRS))
+    return pa.table({"query_id": rows["query_id"].take(asks[q]), "ref_id": rows["ref_id"].take(refs[r]), "owner": rows["owner"].take(refs[r]), "similarity": near.astype("f4")}, schema=to_arrow_schema(_PAIRS))
 
 
 def candidates(queries: DataFrame, refs: DataFrame, curves: Curves) -> DataFrame:
-    """(query_id, ref_id) of the ``final`` best by one-byte similarity over all curves, from coded vectors."""
+    """(query_id, ref_id, place, similarity, hits) of the ``final`` best owners by one-byte similarity over all curves, from coded vectors.
+
+    An owner counts once, at its best vector; ``hits`` is the number of windows that showed it.
+    """
     spark = refs.sparkSession
     sample = refs.orderBy(F.xxhash64("id"), "id").limit(curves.sample).select("code").collect()
     curves = curves.fitted(_units(np.array([np.frombuffer(r["code"], np.int8) for r in sample]).reshape(len(sample), curves.dim)))
-    rows = _keyed(refs, curves, False).unionByName(_keyed(queries, curves, True))
+    rows = _keyed(refs, curves, False).unionByName(_keyed(queries.withColumn("owner", F.lit(0).cast("long")), curves, True))
     tasks = max(partitions(refs), -(-(refs.count() + queries.count()) * curves.count // TASK_ROWS))
     order = ["curve", "key", "query", "id"]
     found = cut(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _hits(batches, curves), _HITS), "windows")
     edges = found.where("edge is not null").groupBy("edge").applyInArrow(lambda t: _edge(t, curves), _PAIRS)
-    merged = found.where("edge is null").select(*_PAIRS.names).unionByName(edges).groupBy("query_id", "ref_id").agg(F.max("similarity").alias("similarity"))
-    # A query has at most final * curves rows here, so its ranking is bounded.
+    merged = found.where("edge is null").select(*_PAIRS.names).unionByName(edges).groupBy("query_id", "owner", "ref_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("hits"))
+    best = F.max(F.struct("similarity", (-F.col("ref_id")).alias("ref"), "hits")).alias("b")
+    merged = merged.groupBy("query_id", "owner").agg(best).select("query_id", "b.similarity", (-F.col("b.ref")).alias("ref_id"), "b.hits")
+    # A query has at most keep * curves rows here (and as many of boundaries), so its ranking is bounded.
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id")
-    return merged.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= curves.final).select("query_id", "ref_id")
+    return merged.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= curves.final).select("query_id", "ref_id", "place", "similarity", "hits")
+
+
+def exact(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """(query_id, ref_id) of the ``k`` nearest accessions by cosine distance, each at its nearest vector; ties go to the smaller accession.
+
+    ``queries`` (query_id, q) and ``refs`` (ref_id, ref_accession, r) with usable
+    vectors of doubles. Every block of queries meets every block of references
+    once and passes on its ``k`` best accessions of a query.
+    """
+    arrow = to_arrow_schema(_MET)
+    a, b = -(-queries.count() // QUERY_BLOCK), -(-refs.count() // REF_BLOCK)
+    if not (a and b):
+        return queries.sparkSession.createDataFrame([], _MET).select("query_id", "ref_id")
+
+    def unit(vectors: pa.ChunkedArray) -> np.ndarray:
+        x = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not (q.num_rows and r.num_rows):
+            return arrow.empty_table()
+        r = r.sort_by([("ref_accession", "ascending"), ("ref_id", "ascending")])
+        names, asked, asks, own = r["ref_accession"].to_numpy(), q["query_id"].to_numpy(), unit(q["q"]), unit(r["r"])
+        starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        ends, ids, parts = np.append(starts[1:], len(names)), r["ref_id"].to_numpy(), []
+        for lo in range(0, len(asks), STEP):
+            all_far = np.round(1 - asks[lo : lo + STEP] @ own.T, 12)
+            far = np.minimum.reduceat(all_far, starts, axis=1)
+            # The k-th distance bounds what can be among the best; accessions that tie stay in until they are ordered.
+            bound = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if k < far.shape[1] else np.inf
+            rows, cols = np.nonzero(far <= bound)
+            order = np.lexsort((cols, far[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            fine = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            rows, cols = rows[fine], cols[fine]
+            at = np.array([starts[c] + np.argmin(all_far[i, starts[c] : ends[c]]) for i, c in zip(rows, cols)], "i8")
+            parts.append(pa.table({"query_id": asked[lo + rows], "ref_id": ids[at], "name": pa.array(names[at], "string"), "distance": far[rows, cols]}, schema=arrow))
+        return pa.concat_tables(parts)
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(a)).cast("int")).withColumn("_rb", every(b))
+    r = refs.withColumn("_rb", F.pmod(F.xxhash64("ref_id"), F.lit(b)).cast("int")).withColumn("_qb", every(a))
+    met = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInArrow(meet, _MET)
+    # A query has at most k rows of every block here.
+    best = met.groupBy("query_id", "name").agg(F.min(F.struct("distance", "ref_id")).alias("b")).select("query_id", "name", "b.*")
+    rank = Window.partitionBy("query_id").orderBy("distance", "name")
+    return best.withColumn("_rank", F.row_number().over(rank)).where(F.col("_rank") <= k).select("query_id", "ref_id")
 
 
 def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves | None = None) -> DataFrame:
@@ -262,15 +333,23 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     accession. Copies of one vector under one accession are indexed once.
     Queries may repeat the vectors of references. An empty side gives an empty
     result. The search is approximate: a neighbour can be missed if no curve
-    puts it within the window (see the README for measured recall).
+    puts it within the window (see the README for measured recall). Queries
+    that find fewer than ``k`` accessions on the curves, or one of them on
+    hardly any curve, are searched exactly.
     """
     curves = curves or Curves()
     coded_refs = coded(refs.where(F.col("ref_accession").isNotNull()), "ref_pos", "ref_accession", "embedding", curves.dim)
-    coded_refs = cut(coded_refs.groupBy("name", "code").agg(F.min("id").alias("id")).select("id", "code"), "ref-codes")
+    coded_refs = cut(coded_refs.groupBy("name", "code").agg(F.min("id").alias("id")).select("id", F.xxhash64("name").alias("owner"), "code"), "ref-codes")
     coded_queries = cut(coded(queries, "query_pos", None, "embedding", curves.dim).select("id", "code"), "query-codes")
     pairs = cut(candidates(coded_queries, coded_refs, curves), "pairs")
     r = refs.select(F.col("ref_pos").alias("ref_id"), "ref_accession", doubles("embedding").alias("r"))
     q = queries.select(F.col("query_pos").alias("query_id"), doubles("embedding").alias("q"))
+    enough = min(k, coded_refs.select("owner").distinct().limit(k).count())
+    sure = pairs.where(F.col("place") <= enough).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("hits").alias("hits")).where((F.col("n") >= enough) & (F.col("hits") >= curves.agree))
+    unsure = cut(coded_queries.select(F.col("id").alias("query_id")).join(sure, "query_id", "left_anti"), "unsure")
+    if enough and not unsure.isEmpty():
+        more = exact(unsure.join(q, "query_id"), coded_refs.select(F.col("id").alias("ref_id")).join(r, "ref_id"), max(k, curves.final))
+        pairs = pairs.select("query_id", "ref_id").join(unsure, "query_id", "left_anti").unionByName(cut(more, "exact-pairs"))
     ranked = (
         pairs.join(r, "ref_id")
         .join(q, "query_id")

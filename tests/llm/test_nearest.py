@@ -79,3 +79,25 @@ def test_windows_over_partition_ends(spark):
     want = brute([(i, v.astype("f8")) for i, v in enumerate(x[:60])], [(i, f"R{i}", v.astype("f8")) for i, v in enumerate(x[60:])])
     hits = sum(r["ref_accession"] in want[r["query_pos"]] for r in got)
     assert hits / 300 >= 0.97
+
+
+def frames(spark, queries, refs):
+    """The two sides of rows (query_pos, vector) and (ref_pos, accession, vector)."""
+    return spark.createDataFrame([(i, "q", v.tolist()) for i, v in queries], Q), spark.createDataFrame([(i, n, v.tolist(), 1) for i, n, v in refs], R)
+
+
+def recall(got, queries, refs):
+    """Share of the true five accessions that were found; every query must have five."""
+    want = brute([(i, v.astype("f8")) for i, v in queries], [(i, n, v.astype("f8")) for i, n, v in refs])
+    found = {i: {r["ref_accession"] for r in got if r["query_pos"] == i} for i in want}
+    assert all(len(v) == 5 for v in found.values())
+    return sum(len(found[i] & set(want[i])) for i in want) / (5 * len(want))
+
+
+def test_one_accession_with_a_third_of_the_vectors(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    x = np.concatenate([crowded(2000, 12), centre + 0.1 * rng.normal(size=(1000, 64))]).astype("f4")
+    refs = [(i, f"R{i}" if i < 2000 else "HOT", v) for i, v in enumerate(x)]
+    queries = list(enumerate((centre + 0.1 * rng.normal(size=(20, 64))).astype("f4")))
+    assert recall(nearest.most_similar(*frames(spark, queries, refs)).collect(), queries, refs) >= 0.97
