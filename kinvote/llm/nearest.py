@@ -29,7 +29,7 @@ from kinvote.sources.scratch import cut
 
 _CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("code", T.BinaryType())])
 _KEYS = T.StructType(
-    [T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("code", T.BinaryType())]
+    [T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("fine", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("code", T.BinaryType())]
 )
 _HITS = T.StructType(
     [T.StructField("query_id", T.LongType()), T.StructField("ref_id", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("similarity", T.FloatType()), T.StructField("edge", T.StringType()), T.StructField("place", T.LongType()), T.StructField("code", T.BinaryType())]
@@ -39,6 +39,8 @@ _MET = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("ref
 
 #: Rows of a sorted partition on average at most.
 TASK_ROWS = 400_000
+#: Error of a one-byte similarity: the part that grows with the distance of the vectors, and the constant one.
+CODE_ERROR = (0.004, 4e-5)
 #: Rows of a block of the exact search at most, and of its queries that are multiplied at a time.
 QUERY_BLOCK, REF_BLOCK, STEP = 2048, 8192, 256
 
@@ -85,23 +87,25 @@ class Curves:
         width = np.stack([np.maximum(((unit - centre) @ p).std(0), 1e-6) for p in self.projections()])
         return Curves(self.dim, self.count, self.axes, self.bits, self.window, self.keep, self.final, self.agree, self.seed, self.sample, centre, width)
 
-    def keys(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Per curve the Hilbert numbers of unit vectors: half the grid is room for the shift."""
+    def keys(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per curve the Hilbert numbers of unit vectors and those of a finer grid inside the cells: half the grid is room for the shift."""
         shift = np.random.default_rng(self.seed + 1).uniform(0, 0.5, (self.count, min(self.axes, self.dim)))
-        top, out = (1 << self.bits) - 1, []
+        top, out = (1 << 2 * self.bits) - 1, []
         for p, width, by in zip(self.projections(), self.width, shift):
             spread = ((unit - self.centre) @ p) / width
             cells = np.clip(((spread + 4) / 16 + by) * (top + 1), 0, top).astype(np.int64)
-            out.append(hilbert(cells, self.bits))
+            x = _transposed(cells, 2 * self.bits)
+            out.append((_packed(x >> self.bits, self.bits), _packed(x & ((1 << self.bits) - 1), self.bits)))
         return out
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Positions of grid cells (n, axes) on the Hilbert curve with ``bits`` bits per axis.
+    """Positions of grid cells (n, axes) on the Hilbert curve with ``bits`` bits per axis; axes * bits must be below 64."""
+    return _packed(_transposed(cells, bits), bits)
 
-    The transform of axes to a transposed index is the published one of
-    J. Skilling (2004), worked on all rows at once; axes * bits must be below 64.
-    """
+
+def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The published transform of axes to a transposed index by J. Skilling (2004), worked on all rows at once."""
     x = np.ascontiguousarray(cells.T)
     axes = len(x)
     for level in range(bits - 1, 0, -1):
@@ -116,10 +120,14 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     flip = np.zeros_like(x[0])
     for level in range(bits - 1, 0, -1):
         flip ^= np.where(x[-1] & (1 << level), (1 << level) - 1, 0)
-    x ^= flip
+    return x ^ flip
+
+
+def _packed(x: np.ndarray, bits: int) -> np.ndarray:
+    """The ``bits`` lowest bits of a transposed index as one number."""
     key = np.zeros_like(x[0])
     for level in range(bits - 1, -1, -1):
-        for i in range(axes):
+        for i in range(len(x)):
             key = key << 1 | x[i] >> level & 1
     return key
 
@@ -173,8 +181,8 @@ def _keyed(codes: DataFrame, curves: Curves, query: bool) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            for curve, keys in enumerate(curves.keys(_units(_matrix(batch.column("code"), curves.dim)))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, "i4")), pa.array(keys), pa.array(np.full(n, query)), batch.column("id"), batch.column("owner"), batch.column("code")], schema=arrow)
+            for curve, (keys, fine) in enumerate(curves.keys(_units(_matrix(batch.column("code"), curves.dim)))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, curve, "i4")), pa.array(keys), pa.array(fine), pa.array(np.full(n, query)), batch.column("id"), batch.column("owner"), batch.column("code")], schema=arrow)
 
     return codes.mapInArrow(key, _KEYS)
 
@@ -265,7 +273,8 @@ def candidates(queries: DataFrame, refs: DataFrame, curves: Curves) -> DataFrame
     curves = curves.fitted(_units(np.array([np.frombuffer(r["code"], np.int8) for r in sample]).reshape(len(sample), curves.dim)))
     rows = _keyed(refs, curves, False).unionByName(_keyed(queries.withColumn("owner", F.lit(0).cast("long")), curves, True))
     tasks = max(partitions(refs), -(-(refs.count() + queries.count()) * curves.count // TASK_ROWS))
-    order = ["curve", "key", "query", "id"]
+    # Vectors of one place are in another order on every curve, so a window sees other ones each time and its hits tell how many there are.
+    order = ["curve", "key", "fine", F.xxhash64("id", "curve"), "query", "id"]
     found = cut(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _hits(batches, curves), _HITS), "windows")
     edges = found.where("edge is not null").groupBy("edge").applyInArrow(lambda t: _edge(t, curves), _PAIRS)
     merged = found.where("edge is null").select(*_PAIRS.names).unionByName(edges).groupBy("query_id", "owner", "ref_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("hits"))
@@ -335,7 +344,8 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     result. The search is approximate: a neighbour can be missed if no curve
     puts it within the window (see the README for measured recall). Queries
     that find fewer than ``k`` accessions on the curves, or one of them on
-    hardly any curve, are searched exactly.
+    hardly any curve, or more nearly equal ones than a window passes on, are
+    searched exactly.
     """
     curves = curves or Curves()
     coded_refs = coded(refs.where(F.col("ref_accession").isNotNull()), "ref_pos", "ref_accession", "embedding", curves.dim)
@@ -345,7 +355,11 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     r = refs.select(F.col("ref_pos").alias("ref_id"), "ref_accession", doubles("embedding").alias("r"))
     q = queries.select(F.col("query_pos").alias("query_id"), doubles("embedding").alias("q"))
     enough = min(k, coded_refs.select("owner").distinct().limit(k).count())
-    sure = pairs.where(F.col("place") <= enough).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("hits").alias("hits")).where((F.col("n") >= enough) & (F.col("hits") >= curves.agree))
+    sure = pairs.where(F.col("place") <= enough).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("hits").alias("hits"), F.min("similarity").alias("last")).where((F.col("n") >= enough) & (F.col("hits") >= curves.agree))
+    # Where the accessions next in order are as near as one-byte numbers can tell, the best k may be among those that windows left out.
+    over = pairs.where(F.col("place") == max(curves.keep, enough + 1)).select("query_id", F.col("similarity").alias("over"))
+    error = CODE_ERROR[0] * F.sqrt(F.greatest(2 - 2 * F.col("last"), F.lit(0.0))) + CODE_ERROR[1]
+    sure = sure.join(over, "query_id", "left").where(F.col("over").isNull() | (F.col("last") - F.col("over") >= error))
     unsure = cut(coded_queries.select(F.col("id").alias("query_id")).join(sure, "query_id", "left_anti"), "unsure")
     if enough and not unsure.isEmpty():
         more = exact(unsure.join(q, "query_id"), coded_refs.select(F.col("id").alias("ref_id")).join(r, "ref_id"), max(k, curves.final))

@@ -101,3 +101,13 @@ def test_one_accession_with_a_third_of_the_vectors(spark):
     refs = [(i, f"R{i}" if i < 2000 else "HOT", v) for i, v in enumerate(x)]
     queries = list(enumerate((centre + 0.1 * rng.normal(size=(20, 64))).astype("f4")))
     assert recall(nearest.most_similar(*frames(spark, queries, refs)).collect(), queries, refs) >= 0.97
+
+
+def test_third_of_the_vectors_near_or_equal_to_one(spark):
+    rng = np.random.default_rng(13)
+    centre, copy = rng.normal(size=(2, 64))
+    x = np.concatenate([crowded(2000, 14), centre + 0.05 * rng.normal(size=(1000, 64)), np.repeat(copy[None], 300, 0)]).astype("f4")
+    x = x[rng.permutation(len(x))]
+    refs = [(i, f"R{i:04}", v) for i, v in enumerate(x)]
+    queries = list(enumerate(np.concatenate([centre + 0.05 * rng.normal(size=(20, 64)), np.repeat(copy[None], 3, 0)]).astype("f4")))
+    assert recall(nearest.most_similar(*frames(spark, queries, refs)).collect(), queries, refs) == 1
