@@ -6,13 +6,14 @@ each curve the references and queries are sorted together by range, and a query
 takes the references in the window of neighbouring keys around its place. The
 windows of all curves are merged and ranked by one-byte vectors, and the best
 few accessions are ranked again with the original numbers. Windows that reach
-over the end of a partition are completed from the rows that both sides give to
-that boundary. Queries for which the curves do not give enough are searched
+over the end of a partition are completed from the nearest references before and
+after it, from as many partitions as that takes. Queries for which the curves do not give enough are searched
 once more, exactly, in blocks of queries and references.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,6 +40,8 @@ _MET = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("ref
 
 #: Rows of a sorted partition on average at most.
 TASK_ROWS = 400_000
+#: Queries of one vector that a task answers on average at most.
+TWINS = 100_000
 #: Error of a one-byte similarity: the part that grows with the distance of the vectors, and the constant one.
 CODE_ERROR = (0.004, 4e-5)
 #: Rows of a block of the exact search at most, and of its queries that are multiplied at a time.
@@ -236,31 +239,56 @@ def _hits(batches: Iterator[pa.RecordBatch], curves: Curves) -> Iterator[pa.Reco
         for rows, hits, near in _windows(code[refs], owner[refs], code[asks], at, curves):
             n = len(rows)
             yield pa.RecordBatch.from_arrays([pa.array(own[asks][rows]), pa.array(own[refs][hits]), pa.array(owner[refs][hits]), pa.array(near.astype("f4")), pa.nulls(n, "string"), pa.nulls(n, "int64"), pa.nulls(n, "binary")], schema=arrow)
-        sides = []
-        if k == 0:
-            sides.append((f"{curve[lo]}:{pid - 1}", 1, before <= w))
-        if hi == len(curve):
-            sides.append((f"{curve[lo]}:{pid}", 0, before > len(refs) - w))
-        for edge, side, mask in sides:
-            rows = np.flatnonzero(mask)
-            place = (side << 40) + rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[rows], mask=~q[rows]), pa.array(own[rows], mask=q[rows]), pa.array(owner[rows]), pa.nulls(len(rows), "float32"), pa.array([edge] * len(rows), "string"), pa.array(place), _binary(code[rows])], schema=arrow
-            )
+        # Every end of the partition's run gives its last references and the queries that have fewer than a window before (after) them.
+        for side, given, open_ in ((-1, refs[:w], asks[at < w]), (1, refs[-w:], asks[len(refs) - at < w])):
+            for rows, asked in ((given, False), (open_, True)):
+                n = len(rows)
+                none = pa.nulls(n, "int64")
+                place = [pid, side] if asked else [pid, -side]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[rows]) if asked else none, none if asked else pa.array(own[rows]), pa.array(owner[rows]), pa.nulls(n, "float32"), pa.array([f"{curve[lo]}:{place[0]}:{place[1]}"] * n, "string"), pa.array(rows), _binary(code[rows])], schema=arrow
+                )
 
 
 def _edge(rows: pa.Table, curves: Curves) -> pa.Table:
-    """Candidates of the queries near one boundary: at most a few windows of rows."""
-    rows = rows.sort_by("place").combine_chunks()
-    codes = _matrix(rows["code"].chunk(0), curves.dim)
+    """Candidates of the queries at one end of a partition among the references carried to it: one window a side at most."""
     asked = rows["query_id"].is_valid().to_numpy()
+    rows = rows.combine_chunks()
     refs, asks = np.flatnonzero(~asked), np.flatnonzero(asked)
-    at = np.cumsum(~asked)[asks]
-    parts = list(_windows(codes[refs], rows["owner"].to_numpy()[refs], codes[asks], at, curves)) if len(asks) else []
-    if not parts:
+    if not (len(refs) and len(asks)):
         return to_arrow_schema(_PAIRS).empty_table()
-    q, r, near = (np.concatenate(x) for x in zip(*parts))
-    return pa.table({"query_id": rows["query_id"].take(asks[q]), "ref_id": rows["ref_id"].take(refs[r]), "owner": rows["owner"].take(refs[r]), "similarity": near.astype("f4")}, schema=to_arrow_schema(_PAIRS))
+    codes = _matrix(rows["code"].chunk(0), curves.dim)
+    owners, units, parts = rows["owner"].to_numpy()[refs], _units(codes[refs]), []
+    for lo in range(0, len(asks), 4096):
+        near = _units(codes[asks[lo : lo + 4096]]) @ units.T
+        q, r = _leading(near, np.broadcast_to(owners, near.shape), curves.keep)
+        parts.append(pa.table({"query_id": rows["query_id"].take(asks[lo + q]), "ref_id": rows["ref_id"].take(refs[r]), "owner": owners[r], "similarity": near[q, r].astype("f4")}, schema=to_arrow_schema(_PAIRS)))
+    return pa.concat_tables(parts)
+
+
+def _carried(counts: list[tuple[str, int]], asking: set[str], window: int) -> list[tuple[str, str, int]]:
+    """(source, target, references) that complete the windows at the ends of partitions.
+
+    ``counts`` has the references that each end gives, as "curve:partition:side";
+    side 1 asks for what comes after, side -1 for what comes before. What a
+    source gives under side -1 are its last references, under 1 its first.
+    """
+    ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for end, n in counts:
+        curve, pid, side = map(int, end.split(":"))
+        ends.setdefault((curve, side), []).append((pid, n))
+    out = []
+    for x in ends.values():
+        x.sort()
+    for target in asking:
+        curve, pid, side = map(int, target.split(":"))
+        own = ends.get((curve, side), [])
+        at, left = (bisect_right(own, (pid, 1 << 60)), window) if side == 1 else (bisect_left(own, (pid, -1)) - 1, window)
+        while left > 0 and 0 <= at < len(own):
+            source, n = own[at]
+            out.append((f"{curve}:{source}:{side}", target, min(n, left)))
+            left, at = left - n, at + side
+    return out
 
 
 def candidates(queries: DataFrame, refs: DataFrame, curves: Curves) -> DataFrame:
@@ -276,7 +304,14 @@ def candidates(queries: DataFrame, refs: DataFrame, curves: Curves) -> DataFrame
     # Vectors of one place are in another order on every curve, so a window sees other ones each time and its hits tell how many there are.
     order = ["curve", "key", "fine", F.xxhash64("id", "curve"), "query", "id"]
     found = cut(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: _hits(batches, curves), _HITS), "windows")
-    edges = found.where("edge is not null").groupBy("edge").applyInArrow(lambda t: _edge(t, curves), _PAIRS)
+    given = found.where("edge is not null and query_id is null")
+    asked = found.where("edge is not null and query_id is not null")
+    # One row per end of a partition: its number is bounded by the partitions, not by the data.
+    plan = _carried([tuple(r) for r in given.groupBy("edge").count().collect()], {r[0] for r in asked.select("edge").distinct().collect()}, curves.window)
+    plan = spark.createDataFrame(plan, "source string, target string, refs int")
+    nth = Window.partitionBy("edge").orderBy(F.when(F.col("edge").endswith(":-1"), -F.col("place")).otherwise(F.col("place")))
+    carried = given.withColumn("_nth", F.row_number().over(nth)).join(F.broadcast(plan), F.col("edge") == F.col("source")).where(F.col("_nth") <= F.col("refs"))
+    edges = carried.withColumn("edge", F.col("target")).select(*_HITS.names).unionByName(asked).groupBy("edge").applyInArrow(lambda t: _edge(t, curves), _PAIRS)
     merged = found.where("edge is null").select(*_PAIRS.names).unionByName(edges).groupBy("query_id", "owner", "ref_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("hits"))
     best = F.max(F.struct("similarity", (-F.col("ref_id")).alias("ref"), "hits")).alias("b")
     merged = merged.groupBy("query_id", "owner").agg(best).select("query_id", "b.similarity", (-F.col("b.ref")).alias("ref_id"), "b.hits")
@@ -350,8 +385,11 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     curves = curves or Curves()
     coded_refs = coded(refs.where(F.col("ref_accession").isNotNull()), "ref_pos", "ref_accession", "embedding", curves.dim)
     coded_refs = cut(coded_refs.groupBy("name", "code").agg(F.min("id").alias("id")).select("id", F.xxhash64("name").alias("owner"), "code"), "ref-codes")
-    coded_queries = cut(coded(queries, "query_pos", None, "embedding", curves.dim).select("id", "code"), "query-codes")
-    pairs = cut(candidates(coded_queries, coded_refs, curves), "pairs")
+    twin = F.concat_ws(":", F.xxhash64("embedding"), F.hash("embedding"))
+    every = cut(coded(queries.select("query_pos", "embedding", twin.alias("twin")), "query_pos", "twin", "embedding", curves.dim), "query-ids")
+    # Equal query vectors are searched once, as the least of their ids.
+    coded_queries = cut(every.groupBy("name").agg(F.min("id").alias("id"), F.first("code").alias("code"), F.count(F.lit(1)).alias("n")), "query-codes")
+    pairs = cut(candidates(coded_queries.select("id", "code"), coded_refs, curves), "pairs")
     r = refs.select(F.col("ref_pos").alias("ref_id"), "ref_accession", doubles("embedding").alias("r"))
     q = queries.select(F.col("query_pos").alias("query_id"), doubles("embedding").alias("q"))
     enough = min(k, coded_refs.select("owner").distinct().limit(k).count())
@@ -372,4 +410,10 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
         .agg(F.min("distance").alias("distance"))
     )
     order = Window.partitionBy("query_id").orderBy("distance", "ref_accession")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query_id").alias("query_pos"), "ref_accession", "distance", "rank")
+    out = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # What one of the equal queries found goes to all; vectors of very many queries are spread over tasks.
+    hot = F.broadcast(coded_queries.where(F.col("n") > TWINS).select("name", F.ceil(F.col("n") / TWINS).cast("int").alias("parts")))
+    found = out.join(coded_queries.select(F.col("id").alias("query_id"), "name", F.ceil(F.col("n") / TWINS).cast("int").alias("parts")), "query_id")
+    found = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = every.select("id", "name").distinct().join(hot, "name", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), "parts").cast("int"), F.lit(0)))
+    return asked.select("id", "name", "part").join(found, ["name", "part"]).select(F.col("id").alias("query_pos"), "ref_accession", "distance", "rank")

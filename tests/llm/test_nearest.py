@@ -111,3 +111,24 @@ def test_third_of_the_vectors_near_or_equal_to_one(spark):
     refs = [(i, f"R{i:04}", v) for i, v in enumerate(x)]
     queries = list(enumerate(np.concatenate([centre + 0.05 * rng.normal(size=(20, 64)), np.repeat(copy[None], 3, 0)]).astype("f4")))
     assert recall(nearest.most_similar(*frames(spark, queries, refs)).collect(), queries, refs) == 1
+
+
+def test_a_third_of_the_queries_are_one_vector(spark):
+    """Partitions that hold queries only are completed from further away than the next one."""
+    x = crowded(700, 15)
+    refs = [(i, f"R{i}", v) for i, v in enumerate(x)]
+    near = x[3] + 0.02 * np.random.default_rng(16).normal(size=(150, 64))  # differ, with hardly a reference between them
+    queries = list(enumerate(np.concatenate([np.repeat(x[:1], 400, 0), near, x[600:]]).astype("f4")))
+    before, nearest.TASK_ROWS = nearest.TASK_ROWS, 60
+    try:
+        got = nearest.most_similar(*frames(spark, queries, refs), curves=nearest.Curves(count=4)).collect()
+    finally:
+        nearest.TASK_ROWS = before
+    assert len(got) == 5 * len(queries)
+    assert recall(got, queries, refs) >= 0.97
+
+
+def test_carried_references():
+    counts = [("0:2:-1", 3), ("0:3:-1", 40), ("0:9:-1", 32), ("1:1:-1", 32), ("0:9:1", 32)]
+    plan = nearest._carried(counts, {"0:7:-1", "0:4:1", "1:1:-1"}, 41)
+    assert sorted(plan) == [("0:2:-1", "0:7:-1", 1), ("0:3:-1", "0:7:-1", 40), ("0:9:1", "0:4:1", 32)]
