@@ -21,8 +21,8 @@ class PcaState:
     components: list[list[float]]
 
 
-def fit_embedding_pca(vectors: DataFrame, n_components: int = EMBEDDING_PCA_DIM, max_fit_samples: int = 50_000, seed: int = 42, embedding: str = "embedding", dim: int | None = None) -> PcaState:
-    """Fit on at most ``max_fit_samples`` usable vectors, taken by hash where there are more.
+def fit_embedding_pca(vectors: DataFrame, n_components: int = EMBEDDING_PCA_DIM, max_fit_samples: int | None = None, seed: int = 42, embedding: str = "embedding", dim: int | None = None) -> PcaState:
+    """Fit on all usable vectors, or on ``max_fit_samples`` of them, taken by a hash of the whole row where there are more.
 
     The mean and the covariance are accumulated by the executors (Spark ML);
     only a (dim, dim) matrix reaches the driver. At most min(rows, dim)
@@ -32,8 +32,10 @@ def fit_embedding_pca(vectors: DataFrame, n_components: int = EMBEDDING_PCA_DIM,
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    rows = usable(vectors, embedding, dim).select(doubles(embedding).alias("v"))
-    sample = rows.orderBy(F.xxhash64("v", F.lit(seed))).limit(max_fit_samples).select(array_to_vector("v").alias("v")).persist()
+    rows = usable(vectors, embedding, dim)
+    if max_fit_samples is not None:
+        rows = rows.orderBy(F.xxhash64(*rows.columns, F.lit(seed))).limit(max_fit_samples)
+    sample = rows.select(array_to_vector(doubles(embedding)).alias("v")).persist()
     try:
         n = sample.count()
         if not n:

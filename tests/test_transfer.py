@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from kinvote.operators import enrich, lineage, score, votes
 from kinvote.operators.knn import matrix_distance
@@ -227,3 +228,14 @@ def test_repeated_deliveries_vote_once(spark):
     rows = spark.createDataFrame([("R", 1, 5, "a", None), ("R", 1, 5, "a", "x"), ("R", 2, 5, None, None), (None, 1, 5, "a", "b")], "ref_accession string, ann_pos int, go_term_id long, qualifier string, evidence_code string")
     assert votes.distinct_annotations(rows).count() == 2
     assert votes.annotation_frequency(votes.distinct_annotations(rows)).select(F.sum("go_term_frequency")).first()[0] == 2
+
+
+def test_pca_is_fitted_on_all_rows(spark):
+    """60,000 rows, a third of them copies of one vector."""
+    x = np.random.default_rng(21).normal(size=(40_000, 3)) * [1, 2, 3]
+    x = np.concatenate([x, np.full((20_000, 3), [9.0, -4.0, 2.0])])
+    rows = spark.createDataFrame(pa.table({"embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    state = fit_embedding_pca(rows, 2)
+    assert np.allclose(state.mean, x.mean(0), atol=1e-9)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(np.abs(np.array(state.components) @ vectors[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
