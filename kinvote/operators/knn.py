@@ -65,11 +65,17 @@ def matrix_distance(q: np.ndarray, r: np.ndarray, metric: str, pre_normalized: b
     return 1.0 - q @ r.T
 
 
+def common_dim(vectors: DataFrame, embedding: str = "embedding") -> int:
+    """The most frequent length of the finite vectors, the larger of equally frequent ones; 0 if there is none."""
+    sizes = vectors.where(finite(F.col(embedding))).groupBy(F.size(embedding).alias("dim")).count()
+    first = sizes.orderBy(F.desc("count"), F.desc("dim")).first()
+    return first["dim"] if first else 0
+
+
 def usable(vectors: DataFrame, embedding: str = "embedding", dim: int | None = None) -> DataFrame:
-    """Rows whose vector is not null, finite and of length ``dim`` (by default that of the first such row)."""
+    """Rows whose vector is not null, finite and of length ``dim`` (by default the most frequent one)."""
     if dim is None:
-        first = vectors.where(finite(F.col(embedding))).select(F.size(embedding)).first()
-        dim = first[0] if first else 0
+        dim = common_dim(vectors, embedding)
     return vectors.where(finite(F.col(embedding), dim))
 
 
@@ -232,8 +238,7 @@ def distance_matrix(queries: DataFrame, refs: DataFrame, metric: str = "cosine",
     """(query_pos, ref_pos, distance) of all usable pairs: what the ranked join ranks. For small sides and tests."""
     check_metric(metric)
     if dim is None:
-        first = refs.where(finite(F.col("embedding"))).select(F.size("embedding")).first()
-        dim = first[0] if first else 0
+        dim = common_dim(refs)
     refs = usable(refs, dim=dim).withColumn("banks", F.array(F.lit("")))
     return _block_pairs(usable(queries, dim=dim), refs, None, metric, None, False).drop("aspect_key")
 
@@ -267,8 +272,7 @@ def knn_join(
     if k < 0:
         raise ValueError("k must not be negative")
     if dim is None:
-        first = refs.where(finite(F.col("embedding"))).select(F.size("embedding")).first()
-        dim = first[0] if first else 0
+        dim = common_dim(refs)
     q, r = usable(queries, dim=dim), usable(refs, dim=dim)
     if banks is None:
         r = r.withColumn("banks", F.array(F.lit("")))

@@ -111,3 +111,11 @@ def test_many_blocks(sides, monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BLOCK", 2)
     monkeypatch.setattr(knn, "REF_BLOCK", 7)
     assert hits(knn.knn_join(queries, refs, 4, strategy="block")) == brute(q, r, 4, "cosine")
+
+
+def test_the_dimension_is_that_of_most_references(spark, sides):
+    queries, refs, q, r, _ = sides
+    short = spark.createDataFrame([(100 + i, f"N{i}", [1.0, 2.0]) for i in range(3)], R)
+    for strategy in ("block", "jvm"):
+        assert hits(knn.knn_join(queries, short.unionByName(refs), 5, strategy=strategy)) == brute(q, r, 5, "cosine")
+    assert knn.usable(short.unionByName(refs)).count() == len(r)
