@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from kinvote.operators.components import components
+from kinvote.operators.components import components, forest
 from kinvote.operators.hierarchy import Hierarchy, Walk, term_links
 
 
@@ -124,13 +124,23 @@ def test_term_links_read_every_notation(spark):
 
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)] + [(70, 71), (71, 72)], [(3, 3), (None, 2), (5, 4), (4, 5), (5, 4)], []])
 def test_components(spark, edges):
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     real = [(a, b) for a, b in edges if a is not None and b is not None and a != b]
-    assert got == brute_components(real)
+    for task_links in (1_000_000, 17):  # one part, and several that are joined by stars
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long"), task_links).collect()}
+        assert got == brute_components(real)
 
 
 def test_components_of_a_shuffled_chain(spark):
     order = list(range(300))
     random.Random(4).shuffle(order)
     edges = list(zip(order, order[1:]))
-    assert {r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == {0}
+    for task_links in (1_000_000, 60):
+        assert {r["root"] for r in components(spark.createDataFrame(edges, "u long, v long"), task_links).collect()} == {0}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_forest(seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(seed * 15)]
+    nodes, roots = forest(*(np.array([e[i] for e in edges], "i8") for i in (0, 1)))
+    assert dict(zip(nodes.tolist(), roots.tolist())) == brute_components(edges)
