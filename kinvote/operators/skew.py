@@ -1,14 +1,13 @@
 """Per-key results when a few keys hold most rows: multi-level tree aggregation.
 
-Every input chunk (one partition of bounded size) is combined locally; the
-partial states then meet in rounds, at most ``fan_in`` of a key's states per
-reducer, until one state per key is left. No reducer ever receives the
-partials of all chunks, however many rows or chunks a key has.
+The rows are cut into chunks of a fixed number. Chunks are combined where they
+lie; the partial states then meet in rounds, at most ``fan_in`` chunks or nodes
+of the round before at a reducer, until one state per key is left. No reducer
+ever receives the partials of all chunks, however many rows or chunks a key has.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +18,10 @@ from kinvote.sources.scratch import cut
 
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
+#: Rows of a chunk and children of a node; parameters of the tree, whatever the session's settings.
+CHUNK_ROWS = 32_768
+FAN_IN = 8
+
 
 @dataclass(frozen=True)
 class Measure:
@@ -29,31 +32,52 @@ class Measure:
     merge: str = "sum"
 
 
-def levels(chunks: int, fan_in: int) -> int:
-    """Rounds needed until at most ``fan_in`` states of a key are left for the last one."""
-    return max(0, math.ceil(math.log(max(chunks, 1), fan_in) - 1e-9) - 1)
+def levels(leaves: int, fan_in: int) -> int:
+    """Rounds until all of ``leaves`` have met: at least one, and fan_in ** rounds >= leaves."""
+    rounds, reach = 1, fan_in
+    while reach < leaves:
+        rounds, reach = rounds + 1, reach * fan_in
+    return rounds
+
+
+def chunked(rows: DataFrame, chunk_rows: int) -> tuple[DataFrame, int]:
+    """A written table with ``_node``, the number of each row's chunk, and a bound of these numbers.
+
+    A chunk is ``chunk_rows`` rows on end of one scan task. The table must be a
+    written one: a scan gives its rows in the same order if it is repeated, so
+    a lost task cannot move rows to other chunks. Chunks are numbered by task
+    and place in it; the bound is the number of tasks times the most chunks of
+    one, two numbers from one aggregate.
+    """
+    row = F.monotonically_increasing_id()  # the task in the upper bits, the row within it in the lower 33
+    placed = rows.select("*", F.shiftright(row, 33).alias("_task"), F.floor(row.bitwiseAND((1 << 33) - 1) / chunk_rows).alias("_chunk"))
+    last = placed.select("_task", "_chunk").agg(F.max("_task"), F.max("_chunk")).first()
+    if last[0] is None:
+        return placed.withColumn("_node", F.lit(0).cast("long")).drop("_task", "_chunk"), 0
+    return placed.withColumn("_node", F.col("_task") * (last[1] + 1) + F.col("_chunk")).drop("_task", "_chunk"), (last[0] + 1) * (last[1] + 1)
 
 
-def tree_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], fan_in: int = 16, chunks: int | None = None) -> DataFrame:
+def tree_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], fan_in: int = FAN_IN, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per distinct ``keys`` with the merged ``measures``.
 
-    A chunk is an input partition, whose size Spark bounds when it splits files
-    or shuffles; chunks take ``chunks`` slots in turn (by default the session's
-    shuffle partitions). Round r combines the states of ``fan_in`` neighbouring nodes
-    (node = chunk div fan_in^r) per key; before each exchange Spark combines
-    equal (key, node) states in place. Null keys form a group of their own;
+    Keys and measures are written first and cut into chunks of ``chunk_rows``
+    rows (see ``chunked``). Before each exchange Spark combines equal (key,
+    node) states in place: in the first round those are the rows of a chunk, so a
+    hot key leaves it as one state. Round r brings the states of ``fan_in``
+    neighbouring nodes together (node = chunk div fan_in^r); the last node is
+    the root. Null keys form a group of their own;
     measures skip nulls like the SQL functions and are null if all are. An
     empty table gives no rows; columns that are neither key nor measure are
     not read.
     """
-    if fan_in < 2:
-        raise ValueError("fan_in must be at least 2")
-    chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if fan_in < 2 or chunk_rows < 1:
+        raise ValueError("fan_in must be at least 2 and chunk_rows at least 1")
     named = [F.col(k) for k in keys]
-    states = df.select(*named, *[m.value.alias(m.name) for m in measures], F.pmod(F.spark_partition_id(), F.lit(chunks)).alias("_node"))
-    for _ in range(levels(chunks, fan_in)):
-        states = states.withColumn("_node", F.floor(F.col("_node") / fan_in).cast("int")).groupBy(*named, "_node").agg(*[_MERGE[m.merge](m.name).alias(m.name) for m in measures])
-    return states.groupBy(*named).agg(*[_MERGE[m.merge](m.name).alias(m.name) for m in measures])
+    rows = cut(df.select(*named, *[m.value.alias(m.name) for m in measures]), "chunks")
+    states, leaves = chunked(rows, chunk_rows)
+    for _ in range(levels(leaves, fan_in)):
+        states = states.withColumn("_node", F.floor(F.col("_node") / fan_in)).groupBy(*named, "_node").agg(*[_MERGE[m.merge](m.name).alias(m.name) for m in measures])
+    return states.drop("_node")
 
 
 def annotation_pairs(annotations: DataFrame) -> DataFrame:
@@ -75,7 +99,7 @@ def prediction_pairs(predictions: DataFrame) -> DataFrame:
     )
 
 
-def term_results(annotations: DataFrame, predictions: DataFrame, fan_in: int = 16) -> DataFrame:
+def term_results(annotations: DataFrame, predictions: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """Per table and term: rows, distinct pairs, the share of all pairs, usable scores.
 
     Rows without a reference, protein or term are no pairs. The score columns
@@ -95,6 +119,6 @@ def term_results(annotations: DataFrame, predictions: DataFrame, fan_in: int = 1
     )
 
 
-def heavy_terms(annotations: DataFrame, predictions: DataFrame, percent: int = 3, fan_in: int = 16) -> DataFrame:
+def heavy_terms(annotations: DataFrame, predictions: DataFrame, percent: int = 3, fan_in: int = FAN_IN) -> DataFrame:
     """The terms that hold at least ``percent`` % of the distinct pairs of their table."""
     return term_results(annotations, predictions, fan_in).where(F.col("n_pairs") * 100 >= F.lit(percent) * F.col("all_pairs"))
