@@ -4,15 +4,18 @@ Links form a graph in which a node may have several parents. Connected
 components are found first; the components are then co-located, each wholly in
 one task, and walked there by an iterative depth-first traversal with node
 colouring. A component with more links than ``max_links`` is never gathered:
-its results come from distributed frontier joins with the same definitions.
+its results come from distributed joins with the same definitions.
 
 Definitions, the same on both ways. A *top* is a node without parents; where a
 cycle has no way out, its least node stands in as top. ``depth`` is the least
 number of steps to a top and ``path`` the path of that length that is least by
 node at every step. A node is on a *cycle* if it reaches itself by one or more
-links. Paths never use a link inside a cycle group (strongly connected
-component) unless it lowers the depth, which leaves finitely many and at least
-one for each node. Descendants of a node are all other nodes that reach it.
+links; the nodes that reach each other form its cycle group (strongly connected
+component). A *back link* is a link inside a cycle group that does not lower
+the depth: every cycle has one, and without them no cycle is left, whatever the
+order of the walk. Paths use all links but these, which leaves finitely many
+and at least one for each node. Descendants of a node are all other nodes that
+reach it, ancestors all that it reaches.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,9 +36,11 @@ from kinvote.sources.scratch import cut, drop
 
 #: Links of a component up to which one task walks it (about 100 bytes a link there).
 MAX_LINKS = 3_000_000
-#: Nodes whose descendants or paths one task works out at a time.
-BLOCK = 1024
-#: Path steps that are handed on at a time.
+#: Nodes of a component from which on its output is shared between tasks, one per so many nodes ...
+BLOCK = 4096
+#: ... but so many at most, whatever its size: each has a copy of the links.
+PARTS = 16
+#: Path steps or related nodes that are handed on at a time.
 CHUNK = 1_000_000
 #: Links that one task of small components has on average at most.
 TASK_LINKS = 500_000
@@ -51,26 +57,27 @@ class Walk:
     """One or more whole components in memory, walked depth-first from child to parent.
 
     White nodes are unseen, grey ones are on the current path, black ones are
-    done. A link to a grey node closes a cycle and is a back link. The low
-    links of the same walk give the cycle groups.
+    done. A link to a grey node closes a cycle; the low links of the same walk
+    give the cycle groups. ``full`` also works out depths, paths and back links.
     """
 
-    def __init__(self, child: np.ndarray, parent: np.ndarray) -> None:
+    def __init__(self, child: np.ndarray, parent: np.ndarray, full: bool = True) -> None:
         self.names = np.unique(np.concatenate([child, parent]))
         c, p = np.searchsorted(self.names, child), np.searchsorted(self.names, parent)
         order = np.lexsort((p, c))
         c, p = c[order], p[order]
         self.n = len(self.names)
         self.start = np.searchsorted(c, np.arange(self.n + 1))
-        self.to = p
-        self._walk()
-        self._levels(c, p)
+        self.to, self.child = p, c
+        if full:
+            self._walk()
+            self._levels(c, p)
 
     def _walk(self) -> None:
         n, start, to = self.n, self.start.tolist(), self.to.tolist()
         seen, low, group = [0] * n, [0] * n, [-1] * n
         colour = bytearray(n)  # 0 white, 1 grey, 2 black
-        at, pending, back, done, clock = start[:n], [], [], [], 0
+        at, pending, clock = start[:n], [], 0
         for first in range(n):
             if colour[first]:
                 continue
@@ -87,15 +94,11 @@ class Walk:
                     at[v] += 1
                     if not colour[w]:
                         path.append(w)
-                    else:
-                        if colour[w] == 1:
-                            back.append((v, w))
-                        if group[w] < 0:
-                            low[v] = min(low[v], seen[w])
+                    elif colour[w] == 1 or group[w] < 0:  # grey, or black in a group that is not closed yet
+                        low[v] = min(low[v], seen[w])
                     continue
                 path.pop()
                 colour[v] = 2
-                done.append(v)
                 if path:
                     low[path[-1]] = min(low[path[-1]], low[v])
                 if low[v] == seen[v]:
@@ -108,7 +111,7 @@ class Walk:
                     least = min(members)
                     for w in members:
                         group[w] = least
-        self.back, self.group = back, np.array(group)
+        self.group = np.array(group)
 
     def _levels(self, c: np.ndarray, p: np.ndarray) -> None:
         """Depths by level from the tops down; the least parent one level up leads the path."""
@@ -141,6 +144,7 @@ class Walk:
         kept = (group[c] != group[p]) | (self.depth[p] < self.depth[c])
         self.up_start = np.searchsorted(c[kept], np.arange(n + 1))
         self.up = p[kept]
+        self.back = np.stack([c[~kept], p[~kept]])
 
     def path(self, v: int) -> list[int]:
         out = [v]
@@ -166,64 +170,37 @@ class Walk:
             path.pop()
             at.pop()
 
-    def reaching(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(node, descendant) for the nodes lo..hi: bit sets of reached nodes, parents before children."""
-        width, bits, members = hi - lo, [0] * self.n, self._members()
-        start, to, group = self.start, self.to, self.group
-        for g in self._group_order():
-            held = 0
-            for v in members[g]:
-                if lo <= v < hi:
-                    held |= 1 << (v - lo)
-                for w in to[start[v] : start[v + 1]].tolist():
-                    if group[w] != g:
-                        held |= bits[w]
-            for v in members[g]:
-                bits[v] = held
-                if held:
-                    mask = np.unpackbits(np.frombuffer(held.to_bytes((width + 7) // 8, "little"), np.uint8), bitorder="little")
-                    above = np.flatnonzero(mask) + lo
-                    above = above[above != v]
-                    yield above, np.full(len(above), v)
-
-    def reaching_sets(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The same for all nodes of a walk over many small components."""
-        sets: dict[int, set[int]] = {}
-        members, start, to, group = self._members(), self.start, self.to, self.group.tolist()
-        for g in self._group_order():
-            held = set(members[g])
-            for v in members[g]:
-                for w in to[start[v] : start[v + 1]].tolist():
-                    if group[w] != g:
-                        held |= sets[group[w]]
-            sets[g] = held
-            for v in members[g]:
-                above = np.array([u for u in held if u != v], "i8")
-                yield above, np.full(len(above), v)
-
-    def _members(self) -> dict[int, list[int]]:
-        members: dict[int, list[int]] = {}
-        for v, g in enumerate(self.group.tolist()):
-            members.setdefault(g, []).append(v)
-        return members
-
-    def _group_order(self) -> list[int]:
-        """Cycle groups with parents before children."""
-        c = np.repeat(np.arange(self.n), np.diff(self.start))
-        a, b = self.group[c], self.group[self.to]
-        keep = a != b
-        a, b = a[keep], b[keep]
-        waits = np.bincount(a, minlength=self.n)
-        order = np.lexsort((a, b))
-        first, child = np.searchsorted(b[order], np.arange(self.n + 1)).tolist(), a[order].tolist()
-        ready = [g for g in np.unique(self.group).tolist() if not waits[g]]
-        waits = waits.tolist()
-        for g in ready:
-            for x in child[first[g] : first[g + 1]]:
-                waits[x] -= 1
-                if not waits[x]:
-                    ready.append(x)
-        return ready
+    def related(self, nodes: np.ndarray, down: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(nodes, counts, others): the descendants or ancestors of ``nodes``, ascending, some nodes at a time.
+
+        Every node is walked by itself, so the work is that of the links among
+        what comes out, and nothing is kept but the chunk at hand.
+        """
+        if down:
+            order = np.argsort(self.to, kind="stable")
+            to, start = self.child[order].tolist(), np.searchsorted(self.to[order], np.arange(self.n + 1)).tolist()
+        else:
+            to, start = self.to.tolist(), self.start.tolist()
+        mark, own, counts, flat = [-1] * self.n, [], [], []
+        for v in nodes.tolist():
+            mark[v], found = v, []
+            todo = to[start[v] : start[v + 1]]
+            while todo:
+                w = todo.pop()
+                if mark[w] != v:
+                    mark[w] = v
+                    found.append(w)
+                    todo.extend(to[start[w] : start[w + 1]])
+            if found:
+                found.sort()
+                own.append(v)
+                counts.append(len(found))
+                flat.extend(found)
+                if len(flat) >= CHUNK:
+                    yield np.array(own), np.array(counts), np.array(flat)
+                    own, counts, flat = [], [], []
+        if own:
+            yield np.array(own), np.array(counts), np.array(flat)
 
 
 def term_links(term_parents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,46 +231,62 @@ class Hierarchy:
         placed = links.join(self.nodes.withColumnRenamed("node", "child"), "child")
         self.links = cut(placed.select("component", "child", "parent"), "component-links")
         sizes = cut(self.links.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        total = sizes.agg(F.sum("n")).first()[0] or 0
+        total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         self.tasks = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_LINKS))
-        big = cut(sizes.where(F.col("n") > max_links).select("component"), "big")
-        self.small = self.links.join(big, "component", "left_anti")
-        self.big = self.links.join(big, "component", "left_semi")
-        self.has_big = bool(big.limit(1).count())
+        self.small, self.big, self.has_big = self.links, None, most > max_links
+        if self.has_big:
+            big = sizes.where(F.col("n") > max_links).select("component")
+            self.small = self.links.join(big, "component", "left_anti")
+            self.big = self.links.join(big, "component", "left_semi")
 
-    def _walked(self, schema: T.StructType, emit: Callable[[Walk, int, int], Iterator[pa.Table]], blocks: bool = False) -> DataFrame:
-        """Apply ``emit`` to the co-located components: all of a task's components make one walk.
+    def _unit(self) -> Column:
+        """The task of a component."""
+        return F.pmod(F.xxhash64("component"), F.lit(self.tasks))
 
-        With ``blocks`` the links of a component of more than ``BLOCK`` nodes go
-        to several tasks, one for every ``BLOCK`` of its nodes, so that a large
-        component's output is worked out in parallel.
-        """
+    def _walked(self, schema: T.StructType, emit: Callable[[Walk], Iterator[pa.Table]]) -> DataFrame:
+        """Apply ``emit`` to the co-located components: all of a task's components make one walk."""
         arrow = to_arrow_schema(schema)
 
         def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             links = pa.Table.from_batches(list(batches))
-            walk = Walk(links["child"].to_numpy(), links["parent"].to_numpy())
-            block = key[1].as_py()
-            span = (0, walk.n) if block < 0 else (block * BLOCK, min(walk.n, (block + 1) * BLOCK))
-            for table in emit(walk, *span):
+            for table in emit(Walk(links["child"].to_numpy(), links["parent"].to_numpy())):
                 yield from table.cast(arrow).combine_chunks().to_batches()
 
-        task = -1 - F.pmod(F.xxhash64("component"), F.lit(self.tasks))
-        if not blocks:
-            return self.small.select("child", "parent", task.alias("_unit"), F.lit(-1).alias("_block")).groupBy("_unit", "_block").applyInArrow(run, schema)
-        large = self.nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-        spread = self.small.join(large, "component", "left").select(
-            "child", "parent", F.when(F.col("n").isNull(), task).otherwise(F.col("component")).alias("_unit"),
-            F.explode(F.when(F.col("n").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int")))).alias("_block"),
-        )
-        return spread.groupBy("_unit", "_block").applyInArrow(run, schema)
+        return self.small.select("child", "parent", self._unit().alias("_unit")).groupBy("_unit").applyInArrow(run, schema)
+
+    def _shared(self, wanted: DataFrame, schema: T.StructType, emit: Callable[[Walk, np.ndarray], Iterator[pa.Table]], full: bool) -> DataFrame:
+        """Apply ``emit`` to the components and their ``wanted`` nodes (node, component).
+
+        The wanted nodes of a component of more than ``BLOCK`` are shared
+        between ``PARTS`` tasks at most, each with its own copy of the links; components
+        without a wanted node are left out.
+        """
+        arrow = to_arrow_schema(schema)
+
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(list(batches))
+            asked = rows["parent"].is_null()
+            links, own = rows.filter(pc.invert(asked)), np.sort(rows.filter(asked)["child"].to_numpy())
+            if links.num_rows and len(own):
+                walk = Walk(links["child"].to_numpy(), links["parent"].to_numpy(), full)
+                at = np.searchsorted(walk.names, own).clip(0, walk.n - 1)
+                for table in emit(walk, at[walk.names[at] == own]):
+                    yield from table.cast(arrow).combine_chunks().to_batches()
+
+        parts = wanted.groupBy("component").agg(F.least(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(PARTS)).cast("int").alias("_parts"))
+        part = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("node"), "_parts")).otherwise(F.lit(0)).cast("int")
+        # A component in several parts is in a unit of its own, so that its parts are tasks.
+        unit = F.when(F.col("_parts") > 1, F.col("component")).otherwise(-1 - self._unit())
+        nodes = wanted.join(parts, "component").select(unit.alias("_unit"), part.alias("_part"), F.col("node").alias("child"), F.lit(None).cast("long").alias("parent"))
+        links = self.small.join(parts, "component").select(unit.alias("_unit"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "child", "parent")
+        return links.unionByName(nodes).groupBy("_unit", "_part").applyInArrow(run, schema)
 
     def described(self) -> DataFrame:
         """One row per node: component, depth, top, path (node first), on_cycle, cycle (least node of its group)."""
 
-        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
-            for lo in range(first, last, BLOCK):
-                own = slice(lo, min(lo + BLOCK, last))
+        def emit(walk: Walk) -> Iterator[pa.Table]:
+            for lo in range(0, walk.n, BLOCK):
+                own = slice(lo, min(lo + BLOCK, walk.n))
                 paths = [walk.names[walk.path(v)] for v in range(own.start, own.stop)]
                 yield pa.table(
                     {"node": walk.names[own], "component": np.zeros(len(paths), "i8"), "depth": walk.depth[own].astype("i4"), "top": np.array([x[-1] for x in paths], "i8"), "path": _lists(map(len, paths), np.concatenate(paths)),
@@ -316,11 +309,11 @@ class Hierarchy:
         return out
 
     def back_links(self) -> DataFrame:
-        """The links that close cycles, as the walk meets them (components beyond the bound: links inside a cycle group that do not lower the depth)."""
+        """(child, parent) of the links inside a cycle group that do not lower the depth."""
 
-        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
-            pairs = walk.names[np.array(walk.back, "i8").reshape(-1, 2)]
-            yield pa.table({"child": pairs[:, 0], "parent": pairs[:, 1]})
+        def emit(walk: Walk) -> Iterator[pa.Table]:
+            child, parent = walk.names[walk.back]
+            yield pa.table({"child": child, "parent": parent})
 
         out = self._walked(BACK, emit)
         if self.has_big:
@@ -329,36 +322,32 @@ class Hierarchy:
 
     def descendants(self) -> DataFrame:
         """(node, descendants): every node that others reach, with all of them in ascending order."""
+        parents = self.links.select(F.col("parent").alias("node"), "component").distinct()
+        out = self._shared(parents, BELOW, lambda walk, nodes: _relatives(walk, nodes, True), False)
+        if self.has_big:
+            out = out.unionByName(_gathered(closure(self.big).toDF("descendant", "node"), "descendant", "descendants"))
+        return out
 
-        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
-            parts = list(walk.reaching(first, last) if last - first <= BLOCK else walk.reaching_sets())
-            above = np.concatenate([a for a, _ in parts]) if parts else np.zeros(0, "i8")
-            below = np.concatenate([b for _, b in parts]) if parts else np.zeros(0, "i8")
-            del parts
-            order = np.lexsort((below, above))
-            above, below = above[order], walk.names[below[order]]
-            nodes, counts = np.unique(above, return_counts=True)
-            starts = np.concatenate([[0], np.cumsum(counts)])
-            for lo in range(0, len(nodes), 64):
-                hi = min(lo + 64, len(nodes))
-                yield pa.table({"node": walk.names[nodes[lo:hi]], "descendants": _lists(counts[lo:hi], below[starts[lo] : starts[hi]])})
-
-        out = self._walked(BELOW, emit, blocks=True)
+    def ancestors(self, seeds: DataFrame) -> DataFrame:
+        """(node, ancestors) of the ``seeds`` (node) that reach others, with all of those in ascending order; components without a seed are left out."""
+        wanted = seeds.select("node").dropna().distinct().join(self.nodes, "node")
+        schema = T.StructType([BELOW["node"], T.StructField("ancestors", BELOW["descendants"].dataType)])
+        out = self._shared(wanted, schema, lambda walk, nodes: _relatives(walk, nodes, False), False)
         if self.has_big:
-            out = out.unionByName(big_descendants(self.big).groupBy("node").agg(F.sort_array(F.collect_list("descendant")).alias("descendants")))
+            out = out.unionByName(_gathered(closure(self.big, wanted.select("node")).toDF("node", "ancestor"), "ancestor", "ancestors"))
         return out
 
     def paths(self) -> DataFrame:
         """(node, top, path) for every path of every node to a top; nodes that are tops have the path of themselves."""
 
-        def emit(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
+        def emit(walk: Walk, own: np.ndarray) -> Iterator[pa.Table]:
             nodes, lengths, flat = [], [], []
 
             def ready() -> pa.Table:
                 steps, sizes = walk.names[np.array(flat, "i8")], np.array(lengths, "i8")
                 return pa.table({"node": walk.names[np.array(nodes, "i8")], "top": steps[np.cumsum(sizes) - 1], "path": _lists(sizes, steps)})
 
-            for v in range(first, last):
+            for v in own.tolist():
                 for path in walk.paths(v):
                     nodes.append(v)
                     lengths.append(len(path))
@@ -369,21 +358,30 @@ class Hierarchy:
             if nodes:
                 yield ready()
 
-        out = self._walked(PATHS, emit, blocks=True)
+        linked = self.links.select(F.explode(F.array("child", "parent")).alias("node"), "component").distinct()
+        out = self._shared(linked, PATHS, emit, True)
         if self.has_big:
             out = out.unionByName(big_paths(self.big))
-        linked = self.links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
         alone = self.nodes.join(linked, "node", "left_anti").select("node", F.col("node").alias("top"), F.array("node").alias("path"))
         return out.unionByName(alone)
 
 
+def _relatives(walk: Walk, nodes: np.ndarray, down: bool) -> Iterator[pa.Table]:
+    for own, counts, others in walk.related(nodes, down):
+        yield pa.table([pa.array(walk.names[own]), _lists(counts, walk.names[others])], names=["node", "descendants" if down else "ancestors"])
+
+
+def _gathered(pairs: DataFrame, other: str, name: str) -> DataFrame:
+    return pairs.groupBy("node").agg(F.sort_array(F.collect_list(other)).alias(name))
+
+
 def _lists(lengths: Iterable[int], values: np.ndarray) -> pa.Array:
     """An array of lists of the given lengths."""
     ends = np.cumsum([0, *lengths])
     return pa.ListArray.from_arrays(pa.array(ends, "i4"), pa.array(values, "i8"))
 
 
-def _cyclic(walk: Walk, first: int, last: int) -> Iterator[pa.Table]:
+def _cyclic(walk: Walk) -> Iterator[pa.Table]:
     on = walk.on_cycle
     yield pa.table({"node": walk.names[on], "cycle": walk.names[walk.group[on]]})
 
@@ -483,16 +481,22 @@ def _kept_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where(keep).select("child", "parent"), both.where(~keep).select("child", "parent")
 
 
-def big_descendants(links: DataFrame) -> DataFrame:
-    """(node, descendant) by joining new pairs with the links until none is new."""
-    links = cut(links.select("child", "parent").distinct(), "big-links")
-    new = cut(links.select(F.col("parent").alias("node"), F.col("child").alias("descendant")), "below")
-    every = new
-    while new.limit(1).count():
-        step = new.join(links.withColumnRenamed("parent", "descendant"), "descendant").select("node", F.col("child").alias("descendant")).distinct()
-        new = cut(step.join(every, ["node", "descendant"], "left_anti"), "below")
-        every = every.unionByName(new)
-    return every.where("node <> descendant")
+def closure(links: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor) of all nodes, or of ``seeds`` (node), by doubling.
+
+    Round r knows the pairs of up to 2^r steps and those of exactly 2^r; joining
+    the two gives those of up to 2^(r+1). It ends when a round adds none, after
+    about log2 of the longest way.
+    """
+    links = cut(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "ways")
+    exactly, known = links, links if seeds is None else cut(links.join(seeds, "node", "left_semi"), "ancestors")
+    while True:
+        further = known.withColumnRenamed("ancestor", "middle").join(exactly.withColumnRenamed("node", "middle"), "middle").select("node", "ancestor").distinct()
+        new = cut(further.join(known, ["node", "ancestor"], "left_anti"), "ancestors")
+        if new.isEmpty():
+            return known.where("node <> ancestor")
+        known = cut(known.unionByName(new), "ancestors")
+        exactly = cut(exactly.withColumnRenamed("ancestor", "middle").join(exactly.withColumnRenamed("node", "middle"), "middle").select("node", "ancestor").distinct(), "ways")
 
 
 def big_paths(links: DataFrame) -> DataFrame:

@@ -13,18 +13,20 @@ from kinvote.sources.scratch import cut
 def ancestor_closure(seeds: DataFrame, parents: DataFrame) -> DataFrame:
     """(go_id, ancestor): every seed with itself and all it reaches over ``parents`` (go_id, parent_id).
 
-    The terms are numbered and the reachable pairs come from the hierarchy
-    operator, which walks whole components in memory as far as they are bounded
-    and joins frontiers beyond that; diamonds are not repeated and cycles end.
+    The terms are numbered and the ancestors of the seeds come from the hierarchy
+    operator, which walks up from them within whole components as far as these are bounded
+    and joins pairs beyond that; components without a seed take no part,
+    diamonds are not repeated and cycles end.
     Terms without parents reach only themselves; null seeds are skipped.
     """
     links = parents.dropna().select("go_id", "parent_id").distinct()
     seeds = seeds.select("go_id").dropna().distinct()
-    names = cut(links.select("go_id").unionByName(links.select(F.col("parent_id").alias("go_id"))).distinct().withColumn("node", F.monotonically_increasing_id()), "names")
+    names = cut(links.select(F.explode(F.array("go_id", "parent_id")).alias("go_id")).distinct().withColumn("node", F.monotonically_increasing_id()), "names")
     child, parent = names.toDF("go_id", "child"), names.toDF("parent_id", "parent")
-    pairs = Hierarchy(links.join(child, "go_id").join(parent, "parent_id").select("child", "parent"), names.select("node")).descendants().select("node", F.explode("descendants").alias("descendant"))
-    wanted = seeds.join(names, "go_id").select("go_id", F.col("node").alias("descendant"))
-    above = pairs.join(wanted, "descendant").join(names.withColumnRenamed("go_id", "ancestor"), "node").select("go_id", "ancestor")
+    wanted = cut(seeds.join(names, "go_id"), "seeds")
+    hierarchy = Hierarchy(links.join(child, "go_id").join(parent, "parent_id").select("child", "parent"), names.select("node"))
+    pairs = hierarchy.ancestors(wanted).select("node", F.explode("ancestors").alias("above"))
+    above = pairs.join(wanted, "node").select("go_id", "above").join(names.toDF("ancestor", "above"), "above").select("go_id", "ancestor")
     return cut(seeds.select("go_id", F.col("go_id").alias("ancestor")).unionByName(above), "closure")
 
 

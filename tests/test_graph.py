@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from kinvote.operators import hierarchy
 from kinvote.operators.components import components, forest
 from kinvote.operators.hierarchy import Hierarchy, Walk, term_links
 
@@ -86,14 +87,33 @@ def check(spark, links, **options):
         got.setdefault(r["node"], []).append(r["path"])
         assert r["top"] == r["path"][-1]
     assert {x: sorted(v) for x, v in got.items()} == {**{x: sorted(v) for x, v in paths.items()}, 999: [[999]]}
+    back = {tuple(r) for r in h.back_links().collect()}
+    assert back == {(c, p) for c, p in set(links) if c in cyclic and cyclic[c] == cyclic.get(p) and depth[p] >= depth[c]}
+    seeds = [x for x in depth if x % 3 == 0]
+    above = {r["node"]: r["ancestors"] for r in h.ancestors(spark.createDataFrame([(x,) for x in [*seeds, None, 12345]], "node long")).collect()}
+    assert above == {x: sorted(reach[x] - {x}) for x in seeds if reach[x] - {x}}
 
 
 def test_hierarchy_in_memory(spark):
     check(spark, graph(1))
 
 
-def test_hierarchy_distributed_has_the_same_definitions(spark):
-    check(spark, graph(2, 14, 30), max_links=4)
+@pytest.mark.parametrize("max_links", [1, 4])
+def test_hierarchy_distributed_has_the_same_definitions(spark, max_links):
+    check(spark, graph(2, 14, 30), max_links=max_links)
+
+
+def test_large_components_are_shared_between_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "BLOCK", 5)
+    monkeypatch.setattr(hierarchy, "CHUNK", 7)
+    check(spark, graph(4))
+
+
+@pytest.mark.parametrize("max_links", [3, 1000])
+def test_back_links_do_not_depend_on_the_bound(spark, max_links):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 9)], "child long, parent long")
+    h = Hierarchy(links, spark.createDataFrame([], "node long"), max_links)
+    assert [tuple(r) for r in h.back_links().collect()] == [(1, 2)]
 
 
 def test_hierarchy_of_nothing(spark):
@@ -101,11 +121,17 @@ def test_hierarchy_of_nothing(spark):
     assert not h.described().count() + h.cycles().count() + h.descendants().count() + h.paths().count() + h.back_links().count()
 
 
-def test_blocks_agree_with_sets():
-    links = np.array(sorted(set(graph(5))))
-    walk = Walk(links[:, 0], links[:, 1])
-    pairs = lambda parts: sorted((int(a), int(b)) for x, y in parts for a, b in zip(x, y))
-    assert pairs(walk.reaching_sets()) == sorted(sum((pairs(walk.reaching(lo, min(lo + 7, walk.n))) for lo in range(0, walk.n, 7)), []))
+def test_relatives_agree_with_plain_python():
+    links = sorted(set(graph(5)))
+    reach = brute(set(links))[0]
+    walk = Walk(*np.array(links).T, full=False)
+    for down in (False, True):
+        got = {}
+        for nodes, counts, others in walk.related(np.arange(walk.n), down):
+            for v, own in zip(walk.names[nodes], np.split(walk.names[others], np.cumsum(counts)[:-1])):
+                got[int(v)] = own.tolist()
+        want = {x: sorted(y for y in reach if y != x and (x in reach[y] if down else y in reach[x])) for x in reach}
+        assert got == {x: v for x, v in want.items() if v}
 
 
 def test_back_links_close_every_cycle(spark):
