@@ -21,12 +21,16 @@ from kinvote.schema import (
     NEW_V6_FEATURE_KEYS,
     NUMERIC_FEATURES,
     POOL_INJECTED_FEATURES,
+    REQUIRED_FEATURES,
     infer_active_feature_families,
 )
-from kinvote.sources.artifacts import TermVectorIndex, get_index, load_or_fit_pca_state
+from kinvote.sources.artifacts import TermVectorIndex, external_scorer, get_index, load_or_fit_pca_state
+from kinvote.sources.artifacts import TermVectorIndex as Anc2VecIndex
 from kinvote.streaming.predict import predict_stream
 
+# The public names.
 __all__ = [
+    "Anc2VecIndex", "REQUIRED_FEATURES", "external_scorer",
     "ALL_FEATURES", "ASPECT_CODES", "CATEGORICAL_FEATURES", "EMBEDDING_PCA_DIM", "LABEL_COLUMN", "LINEAGE_FEATURE_KEYS",
     "NEW_V6_FEATURE_KEYS", "NUMERIC_FEATURES", "POOL_INJECTED_FEATURES", "PredictConfig", "PredictDiagnostics", "TermVectorIndex", "__version__",
     "apply_reranker", "compute_lineage_features", "enrich_v6_features", "fit_embedding_pca", "get_index", "infer_active_feature_families",

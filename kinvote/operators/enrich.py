@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from kinvote.functions.vectors import dot, doubles, norm
 from kinvote.operators.pca import project
-from kinvote.operators.votes import aspect_order
+from kinvote.operators.votes import aspect_order, bounded, one_pair
 from kinvote.schema import ASPECT_CODES, CLOSE_RELATIONS, EMBEDDING_PCA_DIM, PCA_KEYS
 
 NAN = float("nan")
 
 
+def _one_vector(term_vectors: DataFrame) -> DataFrame:
+    """(go_id, v): the least vector of every id."""
+    return term_vectors.dropna(subset=["go_id", "embedding"]).select("go_id", doubles("embedding").alias("v")).groupBy("go_id").agg(F.min("v").alias("v"))
+
+
 def unit_vectors(term_vectors: DataFrame) -> DataFrame:
-    """(go_id, unit) of the terms whose vector is not zero; the first vector of a repeated id."""
-    rows = term_vectors.dropna(subset=["go_id", "embedding"]).select("go_id", doubles("embedding").alias("v")).groupBy("go_id").agg(F.min("v").alias("v"))
-    return rows.withColumn("n", norm("v")).where("n > 0").select("go_id", F.transform("v", lambda x: F.try_divide(x, "n")).alias("unit"))
+    """(go_id, unit) of the terms whose vector is not zero; of a repeated id the least vector counts."""
+    return _one_vector(term_vectors).withColumn("n", norm("v")).where("n > 0").select("go_id", F.transform("v", lambda x: F.try_divide(x, "n")).alias("unit"))
 
 
 def term_vector_batch(terms: DataFrame, term_vectors: DataFrame, dim: int, zero_if_missing: bool = True) -> DataFrame:
-    """(go_id, embedding, found) for every go_id of ``terms``: zeros, or NaN, where there is no vector."""
+    """(go_id, embedding, found) for every distinct go_id of ``terms``: zeros, or NaN, where there is no vector; of a repeated id the least vector counts."""
     fill = F.array_repeat(F.lit(0.0 if zero_if_missing else NAN), dim)
     ids = terms.select("go_id").dropna().distinct()
-    rows = ids.join(term_vectors.select("go_id", doubles("embedding").alias("v")), "go_id", "left")
+    rows = ids.join(_one_vector(term_vectors), "go_id", "left")
     return rows.select("go_id", F.coalesce("v", fill).alias("embedding"), F.col("v").isNotNull().alias("found"))
 
 
@@ -41,7 +45,7 @@ def neighbor_terms(neighbors: DataFrame, annotations: DataFrame, terms: DataFram
     known = terms.where(F.col("aspect").isin(*ASPECT_CODES) & (F.col("go_id") != "")).select("go_term_id", "go_id", "aspect")
     rows = (
         neighbors.select("query_pos", "aspect_key", "ref_accession").join(annotations.select("ref_accession", "go_term_id"), "ref_accession")
-        .join(known, "go_term_id").select("query_pos", aspect_order("aspect_key").alias("list"), "aspect", "go_id").distinct().join(units, "go_id")
+        .join(bounded(known), "go_term_id").select("query_pos", aspect_order("aspect_key").alias("list"), "aspect", "go_id").distinct().join(units, "go_id")
     )
     first = rows.groupBy("query_pos", "aspect").agg(F.min("list").alias("list"))
     return rows.join(first, ["query_pos", "aspect", "list"]).select("query_pos", "aspect", "go_id", "unit")
@@ -90,7 +94,7 @@ def taxonomy_counters(neighbors: DataFrame, annotations: DataFrame, pair_feature
     """
     ca = F.col("taxonomic_common_ancestors").cast("double")
     relation = F.coalesce("taxonomic_relation", F.lit(""))
-    pairs = pair_features.select("protein_accession", "ref_accession", "taxonomic_relation", "taxonomic_common_ancestors")
+    pairs = one_pair(pair_features, ["taxonomic_relation", "taxonomic_common_ancestors"])
     return (
         neighbors.join(pairs, ["protein_accession", "ref_accession"], "left")
         .join(annotations.select("ref_accession", "go_term_id"), "ref_accession")

@@ -22,7 +22,7 @@ class PcaState:
 
 
 def fit_embedding_pca(vectors: DataFrame, n_components: int = EMBEDDING_PCA_DIM, max_fit_samples: int | None = None, seed: int = 42, embedding: str = "embedding", dim: int | None = None) -> PcaState:
-    """Fit on all usable vectors, or on ``max_fit_samples`` of them, taken by a hash of the whole row where there are more.
+    """Fit on all usable vectors, or on about ``max_fit_samples`` of them, a sample of rows without replacement where there are more.
 
     The mean and the covariance are accumulated by the executors (Spark ML);
     only a (dim, dim) matrix reaches the driver. At most min(rows, dim)
@@ -33,8 +33,8 @@ def fit_embedding_pca(vectors: DataFrame, n_components: int = EMBEDDING_PCA_DIM,
     from pyspark.ml.stat import Summarizer
 
     rows = usable(vectors, embedding, dim)
-    if max_fit_samples is not None:
-        rows = rows.orderBy(F.xxhash64(*rows.columns, F.lit(seed))).limit(max_fit_samples)
+    if max_fit_samples is not None and (total := rows.count()) > max_fit_samples:
+        rows = rows.sample(max_fit_samples / total, seed)
     sample = rows.select(array_to_vector(doubles(embedding)).alias("v")).persist()
     try:
         n = sample.count()

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from kinvote.schema import ASPECT_CODES, PAIR_FEATURE_KEYS
 
 TEXT = "string"
+#: Size by the optimizer's estimate up to which a term table is sent to all executors.
+BROADCAST_BYTES = 16 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its estimated size is within ``BROADCAST_BYTES``, so that a join on a hot term moves no votes; else as it is, left to adaptive execution, which splits hot keys."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def aspect_order(aspect: str) -> Column:
@@ -48,7 +56,8 @@ def voters(neighbors: DataFrame, annotations: DataFrame, terms: DataFrame, aspec
     In an aspect-separated search an annotation votes only in its own aspect's
     list. Every annotation row is a vote: a term twice on a reference votes twice.
     """
-    rows = neighbors.join(annotations, "ref_accession").join(terms.select("go_term_id", "go_id", F.coalesce("aspect", F.lit("")).alias("aspect")), "go_term_id", "left").withColumn("aspect", F.coalesce("aspect", F.lit("")))
+    named = bounded(terms.select("go_term_id", "go_id", "aspect"))
+    rows = neighbors.join(annotations, "ref_accession").join(named, "go_term_id", "left").withColumn("aspect", F.coalesce("aspect", F.lit("")))
     if aspect_separated:
         rows = rows.where(F.col("aspect") == F.col("aspect_key"))
     return rows.withColumn("aspect_ord", aspect_order("aspect_key"))
@@ -82,24 +91,37 @@ def tally(votes: DataFrame, k: int) -> DataFrame:
     )
 
 
-def with_aggregates(rows: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Add the frequency of the term and the density of the donor; 0 where unknown."""
-    density = annotation_density(annotations).withColumnRenamed("ref_accession", "ref_protein_accession")
+def with_aggregates(rows: DataFrame, annotations: DataFrame, counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Add the frequency of the term and the density of the donor; 0 where unknown.
+
+    ``counts`` are the results of ``annotation_frequency`` and
+    ``annotation_density`` where they are at hand already.
+    """
+    frequency, density = counts or (annotation_frequency(annotations), annotation_density(annotations))
+    density = density.withColumnRenamed("ref_accession", "ref_protein_accession")
     return (
-        rows.join(annotation_frequency(annotations), "go_term_id", "left")
+        rows.join(frequency, "go_term_id", "left")
         .join(density, "ref_protein_accession", "left")
         .withColumn("go_term_frequency", F.coalesce("go_term_frequency", F.lit(0)))
         .withColumn("ref_annotation_density", F.coalesce("ref_annotation_density", F.lit(0)))
     )
 
 
+def one_pair(pair_features: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per (protein_accession, ref_accession) with ``columns``; of repeated pairs the least row counts."""
+    keys = ["protein_accession", "ref_accession"]
+    return pair_features.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("p")).select(*keys, "p.*")
+
+
 def with_pair_features(rows: DataFrame, pair_features: DataFrame | None) -> DataFrame:
     """Add the pair columns of (query, donor); all null where the pair or a column is missing."""
     if pair_features is None:
         there, out = [], rows
     else:
         there = [c for c in PAIR_FEATURE_KEYS if c in pair_features.columns]
-        pairs = pair_features.select("protein_accession", F.col("ref_accession").alias("ref_protein_accession"), *there)
+        out = rows
+    if there:
+        pairs = one_pair(pair_features, there).withColumnRenamed("ref_accession", "ref_protein_accession")
         out = rows.join(pairs, ["protein_accession", "ref_protein_accession"], "left")
     for c in PAIR_FEATURE_KEYS:
         kind = TEXT if c == "taxonomic_relation" else "double"

@@ -7,6 +7,8 @@ import os
 from collections.abc import Callable
 
 import numpy as np
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from kinvote.functions.vectors import finite
 from kinvote.operators.enrich import term_vector_batch
 from kinvote.operators.pca import PcaState, fit_embedding_pca
-from kinvote.operators.score import TreeEnsemble, load_from_bytes, model_from_table
+from kinvote.operators.score import ExternalModel, TreeEnsemble, load_from_bytes, model_from_table
 
 #: Session settings for the default places.
 TERM_VECTORS_PATH = "spark.kinvote.termVectors.path"
@@ -23,6 +25,9 @@ PCA_PATH = "spark.kinvote.pca.path"
 _VECTORS = T.StructType([T.StructField("go_id", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("release", T.StringType())])
 _STATE = T.StructType([T.StructField("component", T.IntegerType()), T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
+# What Spark's errors say of files that can be read but are no Parquet, or of other columns.
+_OTHER_FORMAT = ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER", "PARQUET_COLUMN_DATA_TYPE_MISMATCH", "UNABLE_TO_INFER_SCHEMA")
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,16 +54,19 @@ def read_term_vectors(spark: SparkSession, path: str | None = None) -> DataFrame
 
 
 class TermVectorIndex:
-    """Term vectors with look-ups; the table is kept in the executors' storage."""
+    """Term vectors with look-ups; the table is kept in the executors' storage until ``close``. Of a repeated id the least vector counts."""
 
     def __init__(self, vectors: DataFrame) -> None:
-        self.table = vectors.dropna(subset=["go_id", "embedding"]).dropDuplicates(["go_id"]).persist()
+        self.table = vectors.dropna(subset=["go_id", "embedding"]).groupBy("go_id").agg(F.min(F.struct("embedding", "release")).alias("v")).select("go_id", "v.*").persist()
         first = self.table.select(F.size("embedding").alias("dim"), "release").first()
         self.dim, self.release = (first["dim"], first["release"]) if first else (0, "")
 
     def __len__(self) -> int:
         return self.table.count()
 
+    def close(self) -> None:
+        self.table.unpersist()
+
     def __contains__(self, go_id: str) -> bool:
         return bool(self.table.where(F.col("go_id") == go_id).limit(1).count())
 
@@ -85,15 +93,19 @@ def save_pca_state(spark: SparkSession, state: PcaState, config_id: str, directo
 
 
 def load_pca_state(spark: SparkSession, config_id: str, directory: str | None = None) -> PcaState | None:
-    """The state that was saved; None if it is missing or cannot be read as one."""
+    """The state that was saved; None if it is missing or its files are not of this form. Errors of the storage are raised."""
     path = _pca_path(spark, config_id, directory)
     if not _exists(spark, path):
         return None
     try:
         rows = {r["component"]: list(r["weights"]) for r in spark.read.schema(_STATE).parquet(path).collect()}
         return PcaState(rows[-1], [rows[i] for i in range(len(rows) - 1)])
-    except Exception:  # noqa: BLE001 - whatever is wrong with the files, it is no state
+    except KeyError:  # a table without a mean or with a gap
         return None
+    except (PySparkException, Py4JError) as x:
+        if any(words in str(x) for words in _OTHER_FORMAT):
+            return None
+        raise
 
 
 def load_or_fit_pca_state(spark: SparkSession, config_id: str, vectors: DataFrame, directory: str | None = None) -> PcaState | None:
@@ -110,27 +122,12 @@ def _pca_path(spark: SparkSession, config_id: str, directory: str | None) -> str
 
 
 def read_model(spark: SparkSession, path: str) -> TreeEnsemble:
-    """A tree ensemble from a JSON file, or from a Parquet table of nodes."""
-    if path.endswith(".json"):
+    """A tree ensemble from a file (JSON, or the text format of LightGBM: .json, .txt, .lgb, .model), or from a Parquet table of nodes."""
+    if path.endswith((".json", ".txt", ".lgb", ".model")):
         return load_from_bytes(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
     return model_from_table(spark.read.parquet(path))
 
 
-def external_scorer(load: Callable, features: list[str]) -> Callable[[DataFrame, str], DataFrame]:
-    """Score with a model object of another library in Arrow batches: ``load()`` runs once per task and gives something with ``predict``.
-
-    The library must be installed on the executors; its import belongs into ``load``.
-    """
-
-    def score(rows: DataFrame, out: str = "_raw") -> DataFrame:
-        schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
-
-        def run(batches):
-            model = load()
-            for pdf in batches:
-                pdf[out] = np.asarray(model.predict(pdf.reindex(columns=features).apply(lambda c: c.astype("float64", errors="ignore"))), "f8")
-                yield pdf
-
-        return rows.mapInPandas(run, schema)
-
-    return score
+def external_scorer(load: Callable, features: list[str]) -> ExternalModel:
+    """A model of another library, for every function that takes a ``model``."""
+    return ExternalModel(load, features)

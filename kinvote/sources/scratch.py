@@ -3,8 +3,9 @@
 ``cut`` writes a DataFrame as Parquet and reads it back: the lineage ends
 there, so that a lost executor costs a re-read instead of a recomputation, and
 a step whose result is read twice (a sampling job, then the real one) runs
-once. The folder is ``spark.checkpoint.dir`` of the session; only where that
-is unset, as in tests, a temporary one is made.
+once. The folder is ``spark.checkpoint.dir`` of the session; where that is
+unset, a temporary one is made for a local master, and any other is refused.
+Tables are deleted by ``drop``, at the end of a ``scope``, or with the program.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,9 @@ def folder(spark: SparkSession) -> str:
     at = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING) or spark.sparkContext.getCheckpointDir()
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="kinvote-"))
     return f"file://{_local[0]}"
@@ -53,6 +59,18 @@ def drop(df: DataFrame | None) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Delete the tables that were written inside, at the end; results that read them must be consumed before."""
+    before = {path for _, path in _written}
+    try:
+        yield
+    finally:
+        for spark, path in [x for x in _written if x[1] not in before]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -239,3 +240,197 @@ def test_pca_is_fitted_on_all_rows(spark):
     assert np.allclose(state.mean, x.mean(0), atol=1e-9)
     values, vectors = np.linalg.eigh(np.cov(x.T))
     assert np.allclose(np.abs(np.array(state.components) @ vectors[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+
+
+LIGHTGBM = """tree
+version=v4
+num_class=1
+num_tree_per_iteration=1
+label_index=0
+max_feature_idx=2
+objective=binary sigmoid:2
+feature_names=x y c
+feature_infos=[0:9] [0:9] 0:1:2:40
+tree_sizes=1 1 1
+
+Tree=0
+num_leaves=3
+num_cat=0
+split_feature=0 1
+threshold=1.5 0.25
+decision_type=10 4
+left_child=1 -1
+right_child=-3 -2
+leaf_value=0.1 0.2 -0.3
+is_linear=0
+shrinkage=0.1
+
+
+Tree=1
+num_leaves=2
+num_cat=1
+split_feature=2
+threshold=0
+decision_type=1
+left_child=-1
+right_child=-2
+leaf_value=1 -1
+cat_boundaries=0 2
+cat_threshold=5 256
+is_linear=0
+shrinkage=0.1
+
+
+Tree=2
+num_leaves=2
+num_cat=0
+split_feature=1
+threshold=3
+decision_type=0
+left_child=-1
+right_child=-2
+leaf_value=0.5 0.75
+is_linear=0
+shrinkage=0.1
+
+
+Tree=3
+num_leaves=1
+num_cat=0
+leaf_value=0.01
+is_linear=0
+shrinkage=1
+
+
+end of trees
+
+feature_importances:
+x=1
+
+parameters:
+[boosting: gbdt]
+end of parameters
+
+pandas_categorical:null
+"""
+
+
+def plain_lightgbm(x, y, c):
+    """The model above, read by hand: x has missing NaN and goes left by default, y has missing zero and goes right, then none."""
+    zero = y is None or abs(y) <= 1e-35
+    first = (0.2 if zero or not y <= 0.25 else 0.1) if x is None or x <= 1.5 else -0.3
+    second = 1 if c is not None and int(c) in (0, 2, 40) and c > -1 else -1
+    third = 0.5 if (y or 0.0) <= 3 else 0.75
+    return score.sigmoid(2 * (first + second + third + 0.01))
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_lightgbm_text(spark, monkeypatch, limit):
+    """In batches and as CASE expressions."""
+    monkeypatch.setattr(score, "CASE_NODES", limit)
+    values = [(x, y, c) for x in (None, 1.5, 2.0) for y in (None, 0.0, 0.2, 0.3, 4.0) for c in (None, -3.0, 0.0, 1.0, 2.0, 40.0, 41.0, 1e9)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "row long, x double, y double, c double")
+    model = score.load_from_bytes(LIGHTGBM.encode())
+    assert model.feature_names() == ["x", "y", "c"] and score.model_from_string(model.to_string()) == model
+    got = {r["row"]: r["reranker_score"] for r in score.apply_reranker(rows, model).collect()}
+    assert got == pytest.approx({i: plain_lightgbm(*v) for i, v in enumerate(values)})
+    without = {r["row"]: r["reranker_score"] for r in score.apply_reranker(rows.drop("c"), model).collect()}
+    assert without == pytest.approx({i: plain_lightgbm(x, y, None) for i, (x, y, _) in enumerate(values)})
+    for wrong in (LIGHTGBM.replace("num_class=1", "num_class=3"), LIGHTGBM.replace("leaf_value=0.1 0.2 -0.3", "leaf_value=0.1"), LIGHTGBM.replace("is_linear=0", "is_linear=1"), "tree\n"):
+        with pytest.raises(ValueError, match="ensemble"):
+            score.model_from_string(wrong)
+
+
+def forest(trees, leaves, features=12, seed=3):
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(trees):
+        nodes, open_ = [None], [0]
+        while len(nodes) < 2 * leaves - 1:
+            i = open_.pop(int(rng.integers(len(open_))))
+            nodes[i] = score.Node(f"f{rng.integers(features)}", float(rng.normal()), len(nodes), len(nodes) + 1, bool(rng.integers(2)))
+            open_ += [len(nodes), len(nodes) + 1]
+            nodes += [None, None]
+        out.append([n or score.Node(value=float(rng.normal())) for n in nodes])
+    return score.TreeEnsemble(out)
+
+
+def test_batches_and_cases_agree_to_the_bit(spark, monkeypatch):
+    rows = spark.range(500).select("id", *[F.when(F.rand(i) > 0.1, F.randn(i)).alias(f"f{i}") for i in range(12)]).cache()
+    model, got = forest(6, 9), []
+    for limit in (0, 10_000):
+        monkeypatch.setattr(score, "CASE_NODES", limit)
+        got.append({r["id"]: r["reranker_score"] for r in score.apply_reranker(rows, model, calibration="never").collect()})
+    assert got[0] == got[1] and len(set(got[0].values())) > 100
+
+
+def test_many_trees(spark):
+    rows = spark.range(20_000).select("id", *[F.randn(i).alias(f"f{i}") for i in range(12)])
+    began = time.time()
+    assert score.apply_reranker(rows, forest(500, 31)).where("reranker_score between 0 and 1").count() == 20_000
+    assert time.time() - began < 60
+
+
+def test_external_model_in_predict(world):
+    class Sum:
+        def predict(self, frame):
+            return frame.sum(axis=1).to_numpy()
+
+    model = artifacts.external_scorer(Sum, ["vote_count", "k_position", "absent"])
+    rows = predict(world["q"], world["r"], world["a"], world["t"], LabelTransferConfig(calibration="never"), model=model).collect()
+    assert rows and all(r["reranker_score"] == r["vote_count"] + r["k_position"] for r in rows)
+    bent = predict(world["q"], world["r"], world["a"], world["t"], models_by_aspect={"F": model}).collect()
+    assert all(r["reranker_score"] == pytest.approx(score.sigmoid(r["vote_count"] + r["k_position"])) if r["aspect"] == "F" else r["reranker_score"] is None for r in bent)
+
+
+def test_repeated_ids_do_not_multiply_rows(spark):
+    pairs = spark.createDataFrame([("Q", "R", 0.5), ("Q", "R", 0.25)], "protein_accession string, ref_accession string, identity_nw double")
+    rows = spark.createDataFrame([("Q", "R")], "protein_accession string, ref_protein_accession string")
+    assert [r["identity_nw"] for r in votes.with_pair_features(rows, pairs).collect()] == [0.25]
+    assert votes.with_pair_features(rows, pairs.drop("identity_nw")).count() == 1
+    vectors = spark.createDataFrame([("a", [2.0]), ("a", [1.0])], "go_id string, embedding array<float>")
+    assert [r["embedding"] for r in enrich.term_vector_batch(spark.createDataFrame([("a",), ("a",)], "go_id string"), vectors, 1).collect()] == [[1.0]]
+
+
+def test_odd_length_first(spark, world):
+    """A reference of another length in front changes nothing, and a query without a vector is said."""
+    odd = spark.createDataFrame([(-1, "ODD", [1.0, 2.0])], world["r"].schema)
+    columns = ["query_pos", "go_term_id", "vote_count", "ref_protein_accession"]
+    want = sorted(map(tuple, predict(world["q"], world["r"], world["a"], world["t"]).select(*columns).collect()))
+    for config in (LabelTransferConfig(), LabelTransferConfig(dim=6)):
+        assert sorted(map(tuple, predict(world["q"], odd.unionByName(world["r"]), world["a"], world["t"], config).select(*columns).collect())) == want
+    assert np.allclose(fit_embedding_pca(odd.unionByName(world["r"]), 2).components, fit_embedding_pca(world["r"], 2).components)
+    short = spark.createDataFrame([(9, "Q9", [1.0])], world["q"].schema)
+    with pytest.warns(UserWarning, match="1 of 4 queries"):
+        predict(world["q"].unionByName(short), world["r"], world["a"], world["t"])
+
+
+def test_lost_queries_are_refused(spark, world):
+    from kinvote.operators import transfer
+
+    near = spark.createDataFrame([(0,)], "query_pos long")
+    with pytest.raises(RuntimeError, match="2 of 3"):
+        transfer.check_answers(world["q"], near, 6, LabelTransferConfig())
+    with pytest.warns(UserWarning, match="2 of 3"):
+        transfer.check_answers(world["q"], near, 6, LabelTransferConfig(strategy="lsh"))
+    transfer.check_answers(world["q"], near, 6, LabelTransferConfig(distance_threshold=0.1))
+
+
+def test_intermediate_tables(spark):
+    from kinvote.sources import scratch
+
+    with scratch.scope():
+        table = scratch.cut(spark.range(5), "five")
+        at = table._kinvote_path
+        assert table.count() == 5 and at.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert not artifacts._exists(spark, at)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from kinvote.sources import scratch
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: nothing, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.folder(SimpleNamespace(conf=nothing, sparkContext=context))
