@@ -3,7 +3,8 @@
 Every strategy returns ``neighbors``: aspect_key, query_pos, protein_accession,
 k_position, ref_pos, ref_accession, distance. Distances are rounded to 12
 decimals, so that vectors that differ only by arithmetic noise tie; ties go to
-the smaller ref_pos.
+the smaller ref_pos. Squared distances are sums of squared differences whatever
+the strategy and size.
 
 The exact strategies cut both sides into blocks and meet every query block with
 every reference block once: the stated queries against all references. A task
@@ -131,6 +132,26 @@ def _best(near: np.ndarray, refs: np.ndarray, names: np.ndarray | None, k: int |
     return rows, at, value
 
 
+def _direct(q: np.ndarray, r: np.ndarray, near: np.ndarray, k: int | None) -> np.ndarray:
+    """Squared distances of a block as sums of squared differences, where they can be among the ``k`` least (None: all).
+
+    The product form loses digits where vectors are long and near; its error
+    is within the slack.
+    """
+    near = near.copy()
+    if k is None or k >= near.shape[1]:
+        step = max(1, 4_000_000 // max(r.size, 1))
+        for lo in range(0, len(q), step):
+            near[lo : lo + step] = ((q[lo : lo + step, None] - r) ** 2).sum(2)
+        return near
+    slack = 64 * np.finfo("f8").eps * ((q * q).sum(1) + (r * r).sum(1).max())
+    rows, cols = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack[:, None])
+    for lo in range(0, len(rows), 1 << 20):
+        i, j = rows[lo : lo + (1 << 20)], cols[lo : lo + (1 << 20)]
+        near[i, j] = ((q[i] - r[j]) ** 2).sum(1)
+    return near
+
+
 def _met(q: DataFrame, r: DataFrame, keys: list[str], k: int | None, metric: str, threshold: float | None, pre_normalized: bool, dedupe: bool) -> DataFrame:
     """Candidates of the blocks that share ``keys``; with ``k`` only the best k of each query and bank."""
     arrow = to_arrow_schema(NEIGHBORS)
@@ -138,12 +159,14 @@ def _met(q: DataFrame, r: DataFrame, keys: list[str], k: int | None, metric: str
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
         if not (q.num_rows and r.num_rows):
             return arrow.empty_table()
-        d = np.round(matrix_distance(_stack(q["embedding"]), _stack(r["embedding"]), metric, pre_normalized), DECIMALS)
+        asks, own_refs = _stack(q["embedding"]), _stack(r["embedding"])
+        d = matrix_distance(asks, own_refs, metric, pre_normalized)
         qp, rp, banks, parts = q["query_pos"].to_numpy(), r["ref_pos"].to_numpy(), r["banks"].to_pylist(), []
         names = np.unique(r["ref_accession"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1] if dedupe else None
         for bank in sorted({b for own in banks for b in own}):
             own = np.array([bank in x for x in banks])
-            rows, at, value = _best(d[:, own], rp[own], None if names is None else names[own], k)
+            near = d[:, own] if metric == "cosine" else _direct(asks, own_refs[own], d[:, own], None if dedupe else k)
+            rows, at, value = _best(np.round(near, DECIMALS), rp[own], None if names is None else names[own], k)
             if threshold is not None:
                 fine = value <= threshold
                 rows, at, value = rows[fine], at[fine], value[fine]
@@ -180,47 +203,74 @@ def _placed(vectors: DataFrame, cells: Callable[[np.ndarray], list[np.ndarray]])
     return vectors.mapInArrow(place, schema)
 
 
-def _within_cells(queries: DataFrame, refs: DataFrame, *how) -> DataFrame:
-    """Best candidates among the pairs that share a cell, each pair once.
+def _counted(vectors: DataFrame, cells: Callable[[np.ndarray], list[np.ndarray]], size: int, name: str) -> DataFrame:
+    """(cell, blocks of ``size`` rows under ``name``); only cell numbers and counts leave the workers."""
+    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+                own, n = np.unique(np.concatenate(cells(x)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own, "i8"), pa.array(n, "i8")], schema=to_arrow_schema(schema))
+
+    return vectors.select("embedding").mapInArrow(count, schema).groupBy("cell").agg(F.ceil(F.sum("n") / size).cast("int").alias(name))
+
+
+def _within_cells(queries: DataFrame, refs: DataFrame, of_query: Callable, of_ref: Callable, how: tuple) -> DataFrame:
+    """Best candidates among the pairs that share a cell.
 
     A cell with many rows is cut into blocks like the whole table is, so no
-    task ever holds a cell.
+    task ever holds a cell. The number of cells is a parameter, so the table of
+    their blocks is small.
     """
-    q, r = cut(queries, "query-cells"), cut(refs, "ref-cells")
-    over = lambda rows, size, name: rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    blocks = cut(over(q, QUERY_BLOCK, "_a").join(over(r, REF_BLOCK, "_b"), "cell"), "cell-blocks")
+    queries, refs = queries.select("query_pos", "embedding"), refs.select("ref_pos", "ref_accession", "embedding", "banks")
+    blocks = F.broadcast(cut(_counted(queries, of_query, QUERY_BLOCK, "_a").join(_counted(refs, of_ref, REF_BLOCK, "_b"), "cell"), "cell-blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.join(blocks, "cell").withColumn("_qb", F.pmod(F.xxhash64("query_pos"), "_a").cast("int")).withColumn("_rb", every("_b"))
-    r = r.join(blocks, "cell").withColumn("_rb", F.pmod(F.xxhash64("ref_pos"), "_b").cast("int")).withColumn("_qb", every("_a"))
-    return _met(q, r, ["cell", "_qb", "_rb"], *how).distinct()
+    q = _placed(queries, of_query).join(blocks, "cell").withColumn("_qb", F.pmod(F.xxhash64("query_pos"), "_a").cast("int")).withColumn("_rb", every("_b"))
+    r = _placed(refs, of_ref).join(blocks, "cell").withColumn("_rb", F.pmod(F.xxhash64("ref_pos"), "_b").cast("int")).withColumn("_qb", every("_a"))
+    return _met(q, r, ["cell", "_qb", "_rb"], *how)
+
+
+def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Centres of Lloyd's algorithm from ``k`` random rows; a centre without rows starts again at a random one."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), k, replace=False)].astype(np.float64)
+    for _ in range(rounds):
+        own = np.concatenate([np.argmin(matrix_distance(x[lo : lo + 8192], centres, "l2"), axis=1) for lo in range(0, len(x), 8192)])
+        count, total = np.bincount(own, minlength=k), np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], x[rng.integers(len(x), size=k)])
+    return centres
 
 
 def _cell_pairs(queries: DataFrame, refs: DataFrame, how: tuple, metric: str, nlist: int, nprobe: int, seed: int, sample: int) -> DataFrame:
-    """Inverted lists: cells by k-means on a bounded sample; a query meets its ``nprobe`` nearest cells."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = doubles("embedding")
-    unit = F.transform(v, lambda x: x / (norm(v) + EPSILON)) if metric == "cosine" else v
-    fit = refs.orderBy(F.xxhash64("ref_pos"), "ref_pos").limit(sample).select(array_to_vector(unit).alias("features")).persist()
-    try:
-        n = fit.count()
-        if not n:
-            return queries.sparkSession.createDataFrame([], NEIGHBORS)
-        centres = np.array(KMeans(k=max(1, min(nlist, n)), seed=seed, maxIter=10).fit(fit).clusterCenters())
-    finally:
-        fit.unpersist()
+    """Inverted lists: cells by k-means on about ``sample`` references; a query meets its ``nprobe`` nearest cells, a reference is in one."""
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON) if metric == "cosine" else x
+
+    total = refs.count()
+    if not total:
+        return queries.sparkSession.createDataFrame([], NEIGHBORS)
+    share = min(1.0, sample / total)
+    bound = F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1))
+    fit = refs.where(F.xxhash64("ref_pos", F.lit(seed)) <= bound).select("embedding").toArrow()
+    if not fit.num_rows:
+        fit = refs.select("embedding").limit(1).toArrow()
+    centres = kmeans(scaled(_stack(fit["embedding"])), max(1, min(nlist, fit.num_rows)), seed)
 
     def nearest(count: int) -> Callable[[np.ndarray], list[np.ndarray]]:
+        count = min(count, len(centres))
+
         def cells(x: np.ndarray) -> list[np.ndarray]:
-            if metric == "cosine":
-                x = x / (np.linalg.norm(x, axis=1, keepdims=True) + EPSILON)
-            order = np.argsort(matrix_distance(x, centres, "l2"), axis=1, kind="stable")
-            return [order[:, i] for i in range(min(count, len(centres)))]
+            far = matrix_distance(scaled(x), centres, "l2")
+            best = np.argpartition(far, count - 1, axis=1)[:, :count] if count < len(centres) else np.tile(np.arange(count), (len(x), 1))
+            return list(best.T)
 
         return cells
 
-    return _within_cells(_placed(queries.select("query_pos", "embedding"), nearest(nprobe)), _placed(refs.select("ref_pos", "ref_accession", "embedding", "banks"), nearest(1)), *how)
+    return _within_cells(queries, refs, nearest(nprobe), nearest(1), how)
 
 
 def _hash_pairs(queries: DataFrame, refs: DataFrame, how: tuple, tables: int, bits: int, seed: int, dim: int) -> DataFrame:
@@ -231,7 +281,8 @@ def _hash_pairs(queries: DataFrame, refs: DataFrame, how: tuple, tables: int, bi
     def buckets(x: np.ndarray) -> list[np.ndarray]:
         return [((x @ p > 0) @ weights) + (i << bits) for i, p in enumerate(planes)]
 
-    return _within_cells(_placed(queries.select("query_pos", "embedding"), buckets), _placed(refs.select("ref_pos", "ref_accession", "embedding", "banks"), buckets), *how)
+    # A pair can meet in several tables.
+    return _within_cells(queries, refs, buckets, buckets, how).distinct()
 
 
 def distance_matrix(queries: DataFrame, refs: DataFrame, metric: str = "cosine", dim: int | None = None) -> DataFrame:
@@ -252,7 +303,7 @@ def refs_by_aspect(refs: DataFrame, annotations: DataFrame, terms: DataFrame) ->
 def knn_join(
     queries: DataFrame, refs: DataFrame, k: int = 5, metric: str = "cosine", distance_threshold: float | None = None, strategy: str = "auto",
     pre_normalized: bool = False, dedupe: bool = False, banks: DataFrame | None = None, dim: int | None = None,
-    nlist: int = 100, nprobe: int = 8, tables: int = 12, bits: int = 8, seed: int = 42, sample: int = 50_000,
+    nlist: int = 100, nprobe: int = 8, tables: int = 12, bits: int = 8, seed: int = 42, sample: int = 25_600,
 ) -> DataFrame:
     """The ``k`` nearest references of every query.
 

@@ -207,6 +207,15 @@ def knn_lsh(spark, at):
     return _knn(spark, at, strategy="lsh")
 
 
+@query("SELECT * FROM (VALUES ('ivf', true), ('lsh', true)) v(strategy, enough)")
+def knn_recall(spark, at):
+    """Whether the approximate strategies find at least 95 % of the exact neighbours of all queries."""
+    true = knn.written(_knn(spark, at).select("query_pos", "ref_pos"))
+    found = [_knn(spark, at, strategy=s, **o).select(F.lit(s).alias("strategy"), "query_pos", "ref_pos") for s, o in (("ivf", {"nlist": 64}), ("lsh", {}))]
+    both = found[0].unionByName(found[1]).join(true, ["query_pos", "ref_pos"]).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+    return both.join(F.broadcast(true.agg(F.count(F.lit(1)).alias("all")))).select("strategy", (F.col("n") >= 0.95 * F.col("all")).alias("enough"))
+
+
 @query(_ranked(banks=True) + _SHOWN)
 def knn_by_aspect(spark, at):
     return rounded(nearest(*fixtures.inputs(spark, at), SEPARATE), "distance").drop("neighbor_distance_std")

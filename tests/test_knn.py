@@ -96,6 +96,25 @@ def test_unusable_vectors_and_empty_sides(spark, sides):
         assert knn.knn_join(queries, refs.limit(0), 5, strategy=strategy).count() == 0
 
 
+def test_long_vectors_keep_their_order(spark):
+    """Squared distances far below the squared lengths are the same whatever the strategy."""
+    rng = np.random.default_rng(8)
+    r = 8000 / np.sqrt(8) + 1e-4 * rng.normal(size=(60, 8))
+    refs = spark.createDataFrame([(i, f"R{i}", v.tolist()) for i, v in enumerate(r)], R.replace("float", "double"))
+    queries = spark.createDataFrame([(0, "Q", (r[0] + 1e-5).tolist())], Q.replace("float", "double"))
+    want = sorted((round(float(((r[0] + 1e-5 - v) ** 2).sum()), 12), i) for i, v in enumerate(r))[:5]
+    for strategy in ("block", "jvm", "ivf"):
+        got = knn.knn_join(queries, refs, 5, "l2", strategy=strategy, nlist=2, nprobe=2).orderBy("k_position").collect()
+        assert [(x["distance"], x["ref_pos"]) for x in got] == want
+
+
+def test_kmeans_finds_separate_heaps():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + 0.01 * rng.normal(size=(50, 4)) for c in 10 * np.eye(4)])
+    centres = knn.kmeans(x, 8, 1)
+    assert knn.matrix_distance(x, centres, "l2").min(1).max() < 0.01
+
+
 def test_bad_arguments(sides):
     queries, refs, *_ = sides
     with pytest.raises(ValueError, match="metric"):
