@@ -31,6 +31,39 @@ def pair_features(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: The other pair columns as formulas of the numbers q and r in both accessions, in Spark and DuckDB alike.
+MORE_PAIR_COLUMNS = {
+    "similarity_nw": "(q * 7 + r * 3) % 100 / 100",
+    "alignment_score_nw": "(q + r) % 300",
+    "gaps_pct_nw": "(q * 2 + r) % 50 / 100",
+    "alignment_length_nw": "60 + (q + r) % 90",
+    "identity_sw": "(q * 13 + r * 5) % 100 / 100",
+    "similarity_sw": "(q * 11 + r * 2) % 100 / 100",
+    "alignment_score_sw": "(q + 3 * r) % 300",
+    "gaps_pct_sw": "(q + r * 2) % 50 / 100",
+    "alignment_length_sw": "40 + (q + 2 * r) % 90",
+}
+
+
+def all_pair_features(pairs: DataFrame) -> DataFrame:
+    """``pair_features`` with the other columns."""
+    q, r = clean.term_number(F.col("protein_accession")), clean.term_number(F.col("ref_accession"))
+    rows = pair_features(pairs).select("*", q.alias("q"), r.alias("r"))
+    return rows.withColumns({c: F.expr(x) for c, x in MORE_PAIR_COLUMNS.items()}).drop("q", "r")
+
+
+def coded_ensemble() -> TreeEnsemble:
+    """Two trees over a category and two numbers, with sums within 0..1."""
+    leaf = lambda x: Node(value=x)
+    return TreeEnsemble(
+        [
+            [Node("aspect", 0.5, 1, 2, True), Node("vote_count", 2.5, 3, 4, False), leaf(0.1), leaf(0.2), leaf(0.3)],
+            [Node("evidence_code", categories=(0, 2), left=1, right=2), leaf(0.4), Node("neighbor_vote_fraction", 0.3, 3, 4, True), leaf(0.05), leaf(0.25)],
+        ],
+        ["aspect", "evidence_code", "vote_count", "neighbor_vote_fraction"],
+    )
+
+
 def term_vectors(spark, at) -> DataFrame:
     """Vectors of terms: the embedding of the same number, some left out and some zero."""
     rows = table(spark, at, "embeddings").where("vec_id % 11 <> 10")

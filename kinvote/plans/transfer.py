@@ -446,6 +446,49 @@ def prepare_dataset(spark, at):
     return score.prepare_dataset(_categories(spark, at).join(numbers, "prediction_id"), "prediction_id", schema)
 
 
+_MADE = ["prediction_set_id", "distance", "neighbor_min_distance", "neighbor_mean_distance", "anc2vec_query_known_cos", "anc2vec_query_known_maxcos", "anc2vec_query_known_count"]
+_OTHER = ", ".join(f"CASE WHEN p.identity_nw IS NOT NULL THEN {x} END::DOUBLE {c}" for c, x in fixtures.MORE_PAIR_COLUMNS.items())
+
+
+@query(
+    _voted()
+    + f"""SELECT query_pos, go_term_id, {", ".join(f"{c}::DOUBLE {c}" for c in _PAIR[:-1])}, taxonomic_relation, {_OTHER}, 'set-1' prediction_set_id, round(min_distance, 6) distance,
+       round(min_distance, 6) neighbor_min_distance, round(mean_distance, 6) neighbor_mean_distance, NULL::DOUBLE anc2vec_query_known_cos, NULL::DOUBLE anc2vec_query_known_maxcos, 0.0::DOUBLE anc2vec_query_known_count
+FROM (SELECT *, regexp_extract(protein_accession, '(\d+)', 1)::BIGINT q, regexp_extract(ref_protein_accession, '(\d+)', 1)::BIGINT r FROM p) p"""
+)
+def predict_all_pair_columns(spark, at):
+    config = LabelTransferConfig(k=K, strategy="block", prediction_set_id="set-1")
+    pairs = knn.written(fixtures.all_pair_features(nearest(*fixtures.inputs(spark, at), config)))
+    out = predict(*fixtures.inputs(spark, at), config, pair_features=pairs)
+    return rounded(out, *_MADE[1:]).select("query_pos", "go_term_id", *_PAIR, *fixtures.MORE_PAIR_COLUMNS, *_MADE)
+
+
+def _model_rows(spark, at):
+    """Categories and numbers of every prediction, without a label."""
+    numbers = table(spark, at, "predictions").groupBy("prediction_id").agg(F.max("vote_count").alias("vote_count"), F.max("neighbor_vote_fraction").alias("neighbor_vote_fraction"))
+    return knn.written(_categories(spark, at).join(numbers, "prediction_id"))
+
+
+def _coded_score(coded: str) -> str:
+    """SQL of ``fixtures.coded_ensemble`` over a query with codes."""
+    fraction = "CASE WHEN isnan(neighbor_vote_fraction) THEN NULL ELSE neighbor_vote_fraction END"
+    return f"""SELECT prediction_id, round((CASE WHEN aspect <= 0.5 THEN CASE WHEN vote_count <= 2.5 THEN 0.2 ELSE 0.3 END ELSE 0.1 END
+           + CASE WHEN evidence_code IN (0, 2) THEN 0.4 WHEN coalesce({fraction} <= 0.3, true) THEN 0.05 ELSE 0.25 END)::DOUBLE, 6) reranker_score
+    FROM ({coded}) JOIN (SELECT prediction_id, max(vote_count) vote_count, max(neighbor_vote_fraction) neighbor_vote_fraction FROM predictions GROUP BY 1) USING (prediction_id)"""
+
+
+@query(_coded_score(f"WITH {_CODED} SELECT prediction_id, " + ", ".join(f"coalesce(list_position([{', '.join(repr(w) for w in _VOCABULARY[c])}], {c}), 0)::INT - 1 {c}" for c in ("evidence_code", "aspect")) + " FROM b"))
+def predict_scores_vocabulary(spark, at):
+    out = score.predict_scores(_model_rows(spark, at), fixtures.coded_ensemble(), "prediction_id", _VOCABULARY)
+    return rounded(out, "reranker_score").select("prediction_id", "reranker_score")
+
+
+@query(_coded_score(_first_codes("")))
+def predict_scores_first_codes(spark, at):
+    out = score.predict_scores(_model_rows(spark, at), fixtures.coded_ensemble(), "prediction_id")
+    return rounded(out, "reranker_score").select("prediction_id", "reranker_score")
+
+
 def _scored(spark, at, **models):
     out = predict(*fixtures.inputs(spark, at), BLOCK, pair_features=_pairs(spark, at, BLOCK), **models)
     return rounded(out, "reranker_score").select("query_pos", "go_term_id", "reranker_score")

@@ -19,6 +19,7 @@ def connect(at: str):
 
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
+    con.execute("SET memory_limit='10GB'")
     for p in Path(at).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
     return con
