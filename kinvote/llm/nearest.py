@@ -4,8 +4,8 @@ Unit vectors are projected onto a few random orthogonal directions, shifted at
 random and numbered along a Hilbert curve; this is done for several curves. On
 each curve the references and queries are sorted together by range, and a query
 takes the references in the window of neighbouring keys around its place. The
-windows of all curves are merged and ranked by one-byte vectors, and the best
-few accessions are ranked again with the original numbers. Windows that reach
+windows of all curves are merged and ranked by one-byte vectors, and all vectors
+of the best few accessions that may be their closest are ranked again with the original numbers. Windows that reach
 over the end of a partition are completed from the nearest references before and
 after it, from as many partitions as that takes. Queries for which the curves do not give enough are searched
 once more, exactly, in blocks of queries and references.
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,7 +28,7 @@ from kinvote.functions.vectors import dot, doubles, finite
 from kinvote.llm.ranges import partitions
 from kinvote.sources.scratch import cut
 
-_CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("code", T.BinaryType())])
+_CODES = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("twin", T.LongType()), T.StructField("code", T.BinaryType())])
 _KEYS = T.StructType(
     [T.StructField("curve", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("fine", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("owner", T.LongType()), T.StructField("code", T.BinaryType())]
 )
@@ -155,7 +155,7 @@ def _units(codes: np.ndarray) -> np.ndarray:
 
 
 def coded(vectors: DataFrame, identifier: str, name: str | None, embedding: str, dim: int) -> DataFrame:
-    """(id, name, code) of the usable vectors: one byte per number, the largest at 127.
+    """(id, name, twin, code) of the usable vectors: ``code`` has one byte per number, the largest at 127, ``twin`` is a hash of the numbers.
 
     Usable are vectors of ``dim`` finite numbers that are not all zero, with an id.
     """
@@ -167,12 +167,12 @@ def coded(vectors: DataFrame, identifier: str, name: str | None, embedding: str,
                 continue
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim).astype(np.float64)
             x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), _binary(x)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), batch.column("twin"), _binary(x)], schema=arrow)
 
     v = F.col(embedding)
     rows = vectors.where(finite(v, dim) & F.col(identifier).isNotNull() & F.exists(v, lambda x: x != 0))
     label = F.col(name).cast("string") if name else F.lit(None).cast("string")
-    return rows.select(F.col(identifier).cast("long").alias("id"), label.alias("name"), v.alias("v")).mapInArrow(code, _CODES)
+    return rows.select(F.col(identifier).cast("long").alias("id"), label.alias("name"), F.xxhash64(v).alias("twin"), v.alias("v")).mapInArrow(code, _CODES)
 
 
 def _keyed(codes: DataFrame, curves: Curves, query: bool) -> DataFrame:
@@ -190,16 +190,26 @@ def _keyed(codes: DataFrame, curves: Curves, query: bool) -> DataFrame:
     return codes.mapInArrow(key, _KEYS)
 
 
+def code_error(similarity):
+    """How far apart two one-byte similarities near ``similarity`` can be although the true ones are equal."""
+    return CODE_ERROR[0] * np.sqrt(np.maximum(2 - 2 * similarity, 0)) + CODE_ERROR[1]
+
+
 def _leading(near: np.ndarray, owners: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``keep`` most similar owners of each row, each at its best column."""
+    """(row, column) of the ``keep`` most similar owners of each row: their best columns and those that one-byte numbers cannot tell from these."""
     order = np.argsort(-near, axis=1, kind="stable")
     owners = np.take_along_axis(owners, order, 1)
-    by = np.argsort(owners, axis=1, kind="stable")
+    by = np.argsort(owners, axis=1, kind="stable")  # owner by owner, the best column first
     own = np.take_along_axis(owners, by, 1)
+    first = np.concatenate([np.ones((len(own), 1), bool), own[:, 1:] != own[:, :-1]], axis=1)
     fresh = np.empty(near.shape, bool)
-    np.put_along_axis(fresh, by, np.concatenate([np.ones((len(own), 1), bool), own[:, 1:] != own[:, :-1]], axis=1), 1)
-    rows, cols = np.nonzero(fresh & (np.cumsum(fresh, axis=1) <= keep))
-    return rows, order[rows, cols]
+    np.put_along_axis(fresh, by, first, 1)
+    start = np.maximum.accumulate(np.where(first, np.arange(near.shape[1]), 0), axis=1)
+    place = np.take_along_axis(np.take_along_axis(np.cumsum(fresh, axis=1), by, 1), start, 1)
+    value = np.take_along_axis(np.take_along_axis(near, order, 1), by, 1)
+    best = np.take_along_axis(value, start, 1)
+    rows, cols = np.nonzero((place <= keep) & (first | (value >= best - code_error(best))))
+    return rows, order[rows, by[rows, cols]]
 
 
 def _windows(refs: np.ndarray, owners: np.ndarray, queries: np.ndarray, at: np.ndarray, curves: Curves) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -294,7 +304,8 @@ def _carried(counts: list[tuple[str, int]], asking: set[str], window: int) -> li
 def candidates(queries: DataFrame, refs: DataFrame, curves: Curves) -> DataFrame:
     """(query_id, ref_id, place, similarity, hits) of the ``final`` best owners by one-byte similarity over all curves, from coded vectors.
 
-    An owner counts once, at its best vector; ``hits`` is the number of windows that showed it.
+    An owner has one ``place``, the ``similarity`` of its best vector and as ``hits`` the number of
+    windows that showed that one; its rows are the vectors that may be its closest.
     """
     spark = refs.sparkSession
     sample = refs.orderBy(F.xxhash64("id"), "id").limit(curves.sample).select("code").collect()
@@ -313,11 +324,16 @@ def candidates(queries: DataFrame, refs: DataFrame, curves: Curves) -> DataFrame
     carried = given.withColumn("_nth", F.row_number().over(nth)).join(F.broadcast(plan), F.col("edge") == F.col("source")).where(F.col("_nth") <= F.col("refs"))
     edges = carried.withColumn("edge", F.col("target")).select(*_HITS.names).unionByName(asked).groupBy("edge").applyInArrow(lambda t: _edge(t, curves), _PAIRS)
     merged = found.where("edge is null").select(*_PAIRS.names).unionByName(edges).groupBy("query_id", "owner", "ref_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("hits"))
-    best = F.max(F.struct("similarity", (-F.col("ref_id")).alias("ref"), "hits")).alias("b")
-    merged = merged.groupBy("query_id", "owner").agg(best).select("query_id", "b.similarity", (-F.col("b.ref")).alias("ref_id"), "b.hits")
-    # A query has at most keep * curves rows here (and as many of boundaries), so its ranking is bounded.
-    rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id")
-    return merged.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= curves.final).select("query_id", "ref_id", "place", "similarity", "hits")
+    # A query has at most 2 * window * curves rows here (and as many of boundaries), so its ranking is bounded.
+    best = F.max(F.struct("similarity", (-F.col("ref_id")).alias("ref"), "hits")).over(Window.partitionBy("query_id", "owner"))
+    merged = merged.withColumn("b", best).where(F.col("similarity") >= F.col("b.similarity") - _code_error(F.col("b.similarity")))
+    rank = Window.partitionBy("query_id").orderBy(F.desc("b.similarity"), F.desc("b.ref"), "owner")
+    return merged.withColumn("place", F.dense_rank().over(rank)).where(F.col("place") <= curves.final).select("query_id", "ref_id", "place", "b.similarity", "b.hits")
+
+
+def _code_error(similarity: Column) -> Column:
+    """``code_error`` of a column."""
+    return CODE_ERROR[0] * F.sqrt(F.greatest(2 - 2 * similarity, F.lit(0.0))) + CODE_ERROR[1]
 
 
 def exact(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
@@ -374,7 +390,9 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     S, embedding). Vectors that are null, of another length, not finite or all
     zero take no part; references without an accession take no part. An
     accession counts once, at its closest vector; ties go to the smaller
-    accession. Copies of one vector under one accession are indexed once.
+    accession. Copies of one vector under one accession take part once, and
+    vectors of one accession that are equal in one-byte numbers are one entry of
+    the index, whose vectors are all ranked by their own numbers.
     Queries may repeat the vectors of references. An empty side gives an empty
     result. The search is approximate: a neighbour can be missed if no curve
     puts it within the window (see the README for measured recall). Queries
@@ -383,25 +401,29 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     searched exactly.
     """
     curves = curves or Curves()
-    coded_refs = coded(refs.where(F.col("ref_accession").isNotNull()), "ref_pos", "ref_accession", "embedding", curves.dim)
-    coded_refs = cut(coded_refs.groupBy("name", "code").agg(F.min("id").alias("id")).select("id", F.xxhash64("name").alias("owner"), "code"), "ref-codes")
-    twin = F.concat_ws(":", F.xxhash64("embedding"), F.hash("embedding"))
-    every = cut(coded(queries.select("query_pos", "embedding", twin.alias("twin")), "query_pos", "twin", "embedding", curves.dim), "query-ids")
+    one = coded(refs.where(F.col("ref_accession").isNotNull()), "ref_pos", "ref_accession", "embedding", curves.dim).groupBy("name", "code", "twin").agg(F.min("id").alias("id"))
+    one = cut(one.select("id", F.xxhash64("name").alias("owner"), "code"), "ref-codes")
+    entries = cut(one.groupBy("owner", "code").agg(F.min("id").alias("entry"), F.count(F.lit(1)).alias("n")), "entries")
+    coded_refs = entries.select(F.col("entry").alias("id"), "owner", "code")
+    others = one.join(entries.where("n > 1"), ["owner", "code"]).where("id <> entry").select(F.col("entry").alias("ref_id"), F.col("id").alias("other"))
+    every = cut(coded(queries, "query_pos", None, "embedding", curves.dim).select("id", F.concat_ws(":", "twin", F.xxhash64("code")).alias("name"), "code"), "query-ids")
     # Equal query vectors are searched once, as the least of their ids.
     coded_queries = cut(every.groupBy("name").agg(F.min("id").alias("id"), F.first("code").alias("code"), F.count(F.lit(1)).alias("n")), "query-codes")
     pairs = cut(candidates(coded_queries.select("id", "code"), coded_refs, curves), "pairs")
     r = refs.select(F.col("ref_pos").alias("ref_id"), "ref_accession", doubles("embedding").alias("r"))
     q = queries.select(F.col("query_pos").alias("query_id"), doubles("embedding").alias("q"))
     enough = min(k, coded_refs.select("owner").distinct().limit(k).count())
-    sure = pairs.where(F.col("place") <= enough).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("hits").alias("hits"), F.min("similarity").alias("last")).where((F.col("n") >= enough) & (F.col("hits") >= curves.agree))
+    sure = pairs.where(F.col("place") <= enough).groupBy("query_id").agg(F.max("place").alias("n"), F.min("hits").alias("hits"), F.min("similarity").alias("last")).where((F.col("n") >= enough) & (F.col("hits") >= curves.agree))
     # Where the accessions next in order are as near as one-byte numbers can tell, the best k may be among those that windows left out.
-    over = pairs.where(F.col("place") == max(curves.keep, enough + 1)).select("query_id", F.col("similarity").alias("over"))
-    error = CODE_ERROR[0] * F.sqrt(F.greatest(2 - 2 * F.col("last"), F.lit(0.0))) + CODE_ERROR[1]
-    sure = sure.join(over, "query_id", "left").where(F.col("over").isNull() | (F.col("last") - F.col("over") >= error))
+    over = pairs.where(F.col("place") == max(curves.keep, enough + 1)).groupBy("query_id").agg(F.max("similarity").alias("over"))
+    sure = sure.join(over, "query_id", "left").where(F.col("over").isNull() | (F.col("last") - F.col("over") >= _code_error(F.col("last"))))
     unsure = cut(coded_queries.select(F.col("id").alias("query_id")).join(sure, "query_id", "left_anti"), "unsure")
+    pairs = pairs.select("query_id", "ref_id")
+    if not entries.where("n > 1").isEmpty():
+        pairs = pairs.unionByName(pairs.join(others, "ref_id").select("query_id", F.col("other").alias("ref_id")))
     if enough and not unsure.isEmpty():
-        more = exact(unsure.join(q, "query_id"), coded_refs.select(F.col("id").alias("ref_id")).join(r, "ref_id"), max(k, curves.final))
-        pairs = pairs.select("query_id", "ref_id").join(unsure, "query_id", "left_anti").unionByName(cut(more, "exact-pairs"))
+        more = exact(unsure.join(q, "query_id"), one.select(F.col("id").alias("ref_id")).join(r, "ref_id"), max(k, curves.final))
+        pairs = pairs.join(unsure, "query_id", "left_anti").unionByName(cut(more, "exact-pairs"))
     ranked = (
         pairs.join(r, "ref_id")
         .join(q, "query_id")

@@ -132,3 +132,22 @@ def test_carried_references():
     counts = [("0:2:-1", 3), ("0:3:-1", 40), ("0:9:-1", 32), ("1:1:-1", 32), ("0:9:1", 32)]
     plan = nearest._carried(counts, {"0:7:-1", "0:4:1", "1:1:-1"}, 41)
     assert sorted(plan) == [("0:2:-1", "0:7:-1", 1), ("0:3:-1", "0:7:-1", 40), ("0:9:1", "0:4:1", 32)]
+
+
+def test_an_accession_counts_at_its_exactly_closest_vector(spark):
+    """Vectors that one-byte numbers do not tell apart, under one accession, and the query equal to one of them."""
+    rng = np.random.default_rng(17)
+    base = crowded(400, 18)
+    near = (base[0] + 1e-3 * rng.normal(size=(12, 64))).astype("f4")
+    refs = [(i, f"R{i}", v) for i, v in enumerate(base)] + [(1000 + i, "X", v) for i, v in enumerate(near)]
+    queries = [(i, v) for i, v in enumerate(near[3:6])]
+    got = nearest.most_similar(*frames(spark, queries, refs)).where("rank = 1").collect()
+    assert {r["query_pos"]: r["ref_accession"] for r in got} == {0: "X", 1: "X", 2: "X"}
+    assert all(abs(r["distance"]) < 1e-12 for r in got)
+
+
+def test_leading_owners_keep_what_codes_cannot_tell():
+    near = np.array([[0.9, 0.5, 0.89999, 0.7, 0.95]], "f4")
+    owners = np.array([[1, 2, 1, 1, 3]])
+    rows, cols = nearest._leading(near, owners, 2)
+    assert sorted(cols.tolist()) == [0, 2, 4] and set(rows.tolist()) == {0}
