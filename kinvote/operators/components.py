@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from kinvote.operators.skew import counted_join
 from kinvote.sources.scratch import cut, drop
 
 #: Links that one task contracts on average at most (about 100 bytes a link there).
@@ -53,8 +54,8 @@ def _contracted(links: DataFrame, tasks: int) -> DataFrame:
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """For rows (u, v) link every v and u itself to the least node among u and its v's."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    return counted_join(pairs, least, ["u"], "_n", ["v"])
 
 
 def _settled(links: DataFrame) -> bool:
@@ -73,7 +74,7 @@ def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     on its root, in a logarithmic number of rounds in practice even
     for long chains. A step only keeps minima per node and rewires links, so a
     node with very many links is combined before the shuffle and its join side
-    can be split by adaptive execution; no component is ever gathered. Nulls
+    is spread over tasks; no component is ever gathered. Nulls
     and self-links say nothing and are skipped, so a node with only those does
     not come out; repeated links count once. Each round is a written table.
     """

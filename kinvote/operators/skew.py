@@ -80,6 +80,25 @@ def tree_aggregate(df: DataFrame, keys: list[str], measures: list[Measure], fan_
     return states.drop("_node")
 
 
+#: Rows of one key that one task of a counted join holds on average at most.
+HOT_ROWS = 1_000_000
+
+
+def counted_join(rows: DataFrame, each: DataFrame, keys: list[str], count: str, spread_by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``each``, which has one row per ``keys`` and in ``count`` how many of ``rows`` have them.
+
+    Keys of more than ``hot_rows`` rows are spread over tasks by the hash of
+    ``spread_by``, and their row in ``each`` is sent to all of these. The hot keys
+    are broadcast; there is at most one per ``hot_rows`` rows. ``count`` is
+    dropped. Null keys join nothing.
+    """
+    parts = F.ceil(F.col(count) / hot_rows).cast("int")
+    hot = F.broadcast(each.where(F.col(count) > hot_rows).select(*keys, parts.alias("_parts")))
+    rows = rows.join(hot, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread_by), "_parts").cast("int"), F.lit(0))).drop("_parts")
+    each = each.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(count)
+    return rows.join(each, [*keys, "_part"]).drop("_part")
+
+
 def annotation_pairs(annotations: DataFrame) -> DataFrame:
     """Distinct (reference, term) pairs of annotations with their number of rows."""
     return annotations.dropna(subset=["ref_accession", "go_term_id"]).groupBy("ref_accession", "go_term_id").agg(F.count(F.lit(1)).alias("n_rows"))

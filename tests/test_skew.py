@@ -52,6 +52,14 @@ def test_no_reducer_gets_more_states_of_a_key_than_the_fan_in(spark):
     assert [r[0] for r in states.collect()] == [0]
 
 
+def test_counted_join_spreads_hot_keys(spark):
+    rows = hot(spark).select("k", "v").unionByName(spark.createDataFrame([(None, 1)], "k long, v long"))
+    each = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    want = sorted(map(tuple, rows.join(each, "k").select("k", "v", "top").collect()), key=repr)
+    for bound in (10, 300, 10**6):
+        assert sorted(map(tuple, skew.counted_join(rows, each, ["k"], "n", ["v"], bound).select("k", "v", "top").collect()), key=repr) == want
+
+
 def test_levels():
     assert [skew.levels(n, 4) for n in (0, 1, 4, 5, 16, 17, 64)] == [1, 1, 1, 2, 2, 3, 3]
     with pytest.raises(ValueError, match="fan_in"):
