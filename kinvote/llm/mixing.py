@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from kinvote.functions import clean
 from kinvote.llm.ranges import numbered, positioned
-from kinvote.llm.tokens import VOCABULARY, measured
+from kinvote.llm.tokens import VOCABULARY, measured, spread
 from kinvote.sources.scratch import cut
 
 #: Most sources that a target table may list; it is a configuration, not data.
@@ -27,7 +27,7 @@ _PLAN = T.StructType(
         T.StructField("budget", T.LongType()),
         T.StructField("full", T.IntegerType()),
         T.StructField("rest", T.LongType()),
-        T.StructField("short", T.BooleanType()),
+        T.StructField("_wanted", T.DecimalType(38, 18)),
     ]
 )
 
@@ -35,18 +35,17 @@ _PLAN = T.StructType(
 def plan(targets: list[tuple], own: dict[str, int]) -> list[tuple]:
     """Per source of ``targets`` (name, key, share, repeats): its budget, full epochs and the rest.
 
-    The total is what all listed sources have. A source is short if all its
-    repeats hold less than its share of the total; it then gives all of them.
-    A null share or repeat count is 0.
+    The total is what all listed sources have; a budget is the share of it in
+    whole tokens. A source that cannot reach its share with all its repeats
+    gives all of them. A null share or repeat count is 0.
     """
     total, out = sum(own.get(t[1], 0) for t in targets), []
     for name, key, share, repeats in targets:
         mine, repeats = own.get(key, 0), max(int(repeats or 0), 0)
         wanted = Decimal(str(share or 0)) * total
-        short = repeats * mine < wanted
-        give = repeats * mine if short else int(wanted)
+        give = min(repeats * mine, int(wanted))
         full = give // mine if mine else 0
-        out.append((name, key, float(share or 0), repeats, mine, int(wanted), full, give - full * mine, short))
+        out.append((name, key, float(share or 0), repeats, mine, int(wanted), full, give - full * mine, wanted))
     return out
 
 
@@ -62,7 +61,7 @@ def mixture(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     repeated in whole epochs before the cut one.
 
     ``report`` has for every target its budget, ``used_tokens``, ``actual_share``
-    of the mixture, ``epochs`` and ``short``. Records of other or null sources
+    of the mixture, ``epochs`` and ``short``, whether the uses hold all that the source can give and yet less than its share. Records of other or null sources
     are not used; null or negative sizes count as 0 and such documents take
     part in full epochs without tokens. Repeated records count as often as they
     are given. Two targets that agree in their normal form are refused.
@@ -97,12 +96,12 @@ def mixture(records: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFram
     used = cut(quotas.drop("_key").join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0))), "mixture")
     everything = used.agg(F.sum("used_tokens").alias("_all"))
     report = used.join(F.broadcast(everything)).select(
-        "source", "target_share", F.try_divide("used_tokens", "_all").alias("actual_share"), "own_tokens", "budget", "used_tokens", F.coalesce("epochs", F.lit(0)).alias("epochs"), "max_repeats", "short"
+        "source", "target_share", F.try_divide("used_tokens", "_all").alias("actual_share"), "own_tokens", "budget", "used_tokens", F.coalesce("epochs", F.lit(0)).alias("epochs"), "max_repeats", ((F.col("used_tokens") == F.col("max_repeats") * F.col("own_tokens")) & (F.col("used_tokens") < F.col("_wanted"))).alias("short")
     )
     return uses, report
 
 
 def mix_documents(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(uses, report) of the mixture of ``documents`` (doc_id, source, text) under ``targets``."""
-    sized = cut(measured(documents.select("doc_id", "source", "text"), vocabulary=vocabulary).drop("content"), "tokens")
+    sized = cut(measured(spread(documents.select("doc_id", "source", "text"), "doc_id"), vocabulary=vocabulary).drop("content"), "tokens")
     return mixture(sized, targets)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinvote.functions import clean
-from kinvote.llm.tokens import VOCABULARY, measured
+from kinvote.llm.tokens import VOCABULARY, measured, spread
 from kinvote.sources.scratch import cut
 
 CAPACITY = 4096
@@ -21,7 +21,6 @@ SHARD_TOKENS = 4_000_000
 SHARD_ITEMS = 200_000
 #: Containers with more unused space than this share are packed again with others.
 LOOSE = 0.02
-MERGE = 64
 
 PLACED = T.StructType(
     [T.StructField("bin_id", T.StringType()), T.StructField("item", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("n_tokens", T.LongType()), T.StructField("used", T.LongType()), T.StructField("source", T.StringType()), T.StructField("content", T.LongType())]
@@ -33,9 +32,10 @@ class Packer:
 
     ``by_space[r]`` holds the bins with r tokens left and ``spaces`` is a
     bitmap of the r that occur, so the successor of an item's size is a few bit
-    operations away. A bin carries one bitmap of the sources that are full in
-    it and one of the duplicate clusters it holds; an item walks up the
-    residuals until it meets the tightest bin that conflicts with neither.
+    operations away. A bin carries one bitmap of the limited sources it holds, so that
+    their sums are looked up only there, and one of the duplicate clusters that
+    are full in it; an item walks up the residuals until it meets the tightest
+    bin that conflicts with neither.
     """
 
     def __init__(self, capacity: int, source_limit: dict, cluster_limit: dict) -> None:
@@ -145,15 +145,19 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, source_share: fl
     broken by item. An empty table gives an empty result.
 
     Items are spread by hash over shards of about ``shard_tokens`` tokens, each
-    packed by one task; all containers that are left with more than 2 % unused
-    are opened again and packed with those of ``MERGE`` neighbouring shards.
+    packed by one task; the items of all containers that are left with more than
+    2 % unused are spread over shards of the same bounds and packed again.
     """
     rows = items.select("item", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("long").alias("n"), "source", "content")
     full = F.floor(F.col("n") / capacity).cast("int")
+    # Equal oversized items are counted first and numbered then, so that every full piece has a name of its own, the same in every run.
     whole = (
         rows.where(F.col("n") > capacity)
-        .select("item", "n", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
-        .select(F.concat_ws("-", F.lit("c"), F.monotonically_increasing_id()).alias("bin_id"), "item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit(capacity).cast("long").alias("used"))
+        .groupBy("item", "n", "source", "content").agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .withColumn("name", F.concat_ws("-", F.lit("c"), F.hex(F.xxhash64("item", "n", "source", "content")), "item", "copy"))
+        .select("name", "item", "n", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"))
+        .select(F.concat_ws("-", "name", "piece").alias("bin_id"), "item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit(capacity).cast("long").alias("used"))
     )
     rest = rows.select("item", F.when(F.col("n") > capacity, full).otherwise(F.lit(0)).alias("piece"), F.when(F.col("n") > capacity, F.col("n") % capacity).otherwise(F.col("n")).alias("n_tokens"), "n", "source", "content")
     empty = rest.where(F.col("n") == 0).select(F.lit(None).cast("string").alias("bin_id"), "item", "piece", F.lit(0).cast("long").alias("start"), "n_tokens", F.lit(0).cast("long").alias("used"))
@@ -162,19 +166,49 @@ def fill_containers(items: DataFrame, capacity: int = CAPACITY, source_share: fl
     shards = max(1, -(-total // shard_tokens), -(-count // SHARD_ITEMS))
     first = cut(_packed(rest, F.pmod(F.xxhash64("item", "piece"), F.lit(shards)), "a", capacity, source_share), "packed")
     loose = F.col("used") < int(capacity * (1 - LOOSE))
-    group = F.floor(F.regexp_extract("bin_id", r"a(\d+)-", 1).cast("long") / MERGE)
-    again = _packed(first.where(loose).withColumn("_group", group).drop("bin_id", "used"), F.col("_group"), "b", capacity, source_share) if shards > 1 else first.where(loose)
+    again = first.where(loose)
+    if shards > 1:
+        total, count = again.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
+        shards = max(1, -(-total // shard_tokens), -(-count // SHARD_ITEMS))
+        again = _packed(again.drop("bin_id", "used"), F.pmod(F.xxhash64("item", "piece", F.lit("again")), F.lit(shards)), "b", capacity, source_share)
     placed = first.where(~loose).unionByName(again).select("bin_id", "item", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n_tokens", "used")
     return whole.unionByName(placed).unionByName(empty)
 
 
+def sized_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(item, source, n_tokens, content) of ``documents``: what ``fill_containers`` takes."""
+    return measured(spread(documents.select(F.col("doc_id").alias("item"), clean.source_key(F.col("source")).alias("source"), "text"), "item"), vocabulary=vocabulary)
+
+
+def container_report(items: DataFrame, placed: DataFrame, capacity: int = CAPACITY, source_share: float = 0.75) -> DataFrame:
+    """One row on the containers ``placed`` of ``items``, whose ids must be unique.
+
+    ``containers``, the ``least`` number that any packing needs (each cut item
+    gives its full pieces), ``overfull`` and ``misstated`` containers (beyond the
+    capacity, or whose ``used`` is not the sum of their pieces), ``lost`` items (whose
+    pieces are not their tokens), ``cut_needlessly``, and the containers that
+    hold copies of one text (``with_copies``) or more than ``source_share`` of one source (``one_sided``).
+    """
+    own = placed.where("bin_id is not null").join(items.select("item", "source", "content"), "item")
+    bins = own.groupBy("bin_id").agg(F.sum("n_tokens").alias("held"), F.max("used").alias("used"))
+    copies = own.where("content is not null").groupBy("bin_id", "content").agg(F.countDistinct("item").alias("n")).where("n > 1").select("bin_id").distinct()
+    sides = own.groupBy("bin_id", "source").agg(F.sum("n_tokens").alias("n"), F.countDistinct("item").alias("k")).where((F.col("n") > capacity * source_share) & (F.col("k") > 1)).select("bin_id").distinct()
+    pieces = placed.groupBy("item").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    whole = items.join(pieces, "item", "left").select(F.coalesce("n_tokens", F.lit(0)).alias("n"), F.coalesce("got", F.lit(-1)).alias("got"), F.coalesce("pieces", F.lit(0)).alias("pieces"))
+    on_items = whole.agg(F.count_if(F.col("n") != F.col("got")).alias("lost"), F.count_if(F.col("pieces") > F.greatest(F.ceil(F.col("n") / capacity), F.lit(1))).alias("cut_needlessly"), F.sum(F.floor(F.col("n") / capacity)).alias("full"), F.sum(F.col("n") % capacity).alias("rest"))
+    on_bins = bins.agg(F.count(F.lit(1)).alias("containers"), F.count_if(F.col("held") > capacity).alias("overfull"), F.count_if(F.col("held") != F.col("used")).alias("misstated"))
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name))
+    one = on_bins.join(F.broadcast(on_items)).join(F.broadcast(count(copies, "with_copies"))).join(F.broadcast(count(sides, "one_sided")))  # one row each
+    return one.select("containers", (F.coalesce("full", F.lit(0)) + F.ceil(F.coalesce("rest", F.lit(0)) / capacity)).alias("least"), "overfull", "misstated", "lost", "cut_needlessly", "with_copies", "one_sided")
+
+
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Containers of the texts of ``documents`` (doc_id, source, text), see ``fill_containers``.
 
     Exact copies of a text form a duplicate cluster. Sources count by their
     normal form.
     """
-    sized = cut(measured(documents.select(F.col("doc_id").alias("item"), clean.source_key(F.col("source")).alias("source"), "text"), vocabulary=vocabulary), "tokens")
+    sized = cut(sized_documents(documents, vocabulary), "tokens")
     return fill_containers(sized, capacity).withColumnRenamed("item", "doc_id")
 
 

@@ -32,9 +32,18 @@ ADDED = T.StructType(
 )
 
 
+#: Bytes of input of a range partition at most on average, as stored.
+TASK_BYTES = 256 << 20
+
+
 def partitions(df: DataFrame) -> int:
-    """Range partitions: as many as the session shuffles into."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range partitions: as many as the session shuffles into, or more if the tables that ``df`` reads are larger than that.
+
+    Their sizes are those of the files; a table without a known size does not count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length())]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sum(s for s in sizes if s < 1 << 60) // TASK_BYTES))
 
 
 def numbered(df: DataFrame, group: str, order: list[str], weight: str | None = None, keep: int | None = None) -> DataFrame:

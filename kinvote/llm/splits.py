@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from kinvote.functions import clean
 from kinvote.llm.ranges import numbered, positioned
 from kinvote.operators.components import components
+from kinvote.operators.skew import counted_join
 from kinvote.sources.scratch import cut
 
 SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -32,8 +33,8 @@ def groups(members: DataFrame, keys: DataFrame) -> DataFrame:
     Null ids are skipped, null keys tie nothing, repeated rows count once.
     """
     members, keys = members.select("id").dropna().distinct(), keys.dropna().distinct()
-    least = keys.groupBy("kind", "key").agg(F.min("id").alias("rep"))
-    ties = cut(keys.join(least, ["kind", "key"]).select("id", "rep").distinct(), "ties")
+    least = keys.groupBy("kind", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    ties = cut(counted_join(keys, least, ["kind", "key"], "n", ["id"]).select("id", "rep").distinct(), "ties")
     own = cut(ties.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("far"), F.count(F.lit(1)).alias("n")), "own-ties")
     # The least id of a key hangs on itself there, so it also joins any lesser one it is tied to.
     middle = ties.join(own.where("n > 2").select("id", F.col("rep").alias("near"), "far"), "id").where("rep > near and rep < far").select(F.col("near").alias("u"), F.col("rep").alias("v"))
@@ -41,8 +42,8 @@ def groups(members: DataFrame, keys: DataFrame) -> DataFrame:
     roots = components(links).select(F.col("node").alias("rep"), "root")
     placed = own.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
     tied = cut(members.join(placed, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id")), "groups")
-    sizes = tied.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
-    return tied.join(sizes, "group_id")
+    sizes = tied.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).withColumn("_n", F.col("group_size"))
+    return counted_join(tied, sizes, ["group_id"], "_n", ["id"])
 
 
 class _Flow:
@@ -203,10 +204,10 @@ def assign(records: DataFrame, grouped: DataFrame, label: str = "label", shares:
             if n:
                 bounds.append((b["_bundle"], split, start, start + n))
             start += n
-    placed = positioned(numbered(bundled.select("_bundle", "group_id", F.xxhash64(F.lit(SEED), "group_id").alias("_hash")), "_bundle", ["_hash", "group_id"]), "_bundle")
+    placed = positioned(numbered(bundled.select("_bundle", "group_id", F.col("size").alias("_size"), F.xxhash64(F.lit(SEED), "group_id").alias("_hash")), "_bundle", ["_hash", "group_id"]), "_bundle")
     # At most MAX_BUNDLES * number of splits rows.
-    chosen = placed.join(F.broadcast(spark.createDataFrame(bounds, _BOUNDS)), "_bundle").where("_pos > _from and _pos <= _to").select("group_id", F.col("_split").alias("split"))
-    return grouped.join(chosen, "group_id")
+    chosen = placed.join(F.broadcast(spark.createDataFrame(bounds, _BOUNDS)), "_bundle").where("_pos > _from and _pos <= _to").select("group_id", F.col("_size"), F.col("_split").alias("split"))
+    return counted_join(grouped, chosen, ["group_id"], "_size", ["id"]).select(*grouped.columns, "split")
 
 
 def split_training_rows(rows: DataFrame, shares: dict[str, float] = SPLITS) -> DataFrame:

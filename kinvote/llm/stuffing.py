@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from kinvote.llm.tokens import pieces
+from kinvote.llm.tokens import pieces, spread
+from kinvote.sources.scratch import cut
 
 PROSE, LINKS, TAGS, MENU, DATA = range(5)
 LABELS = ("prose", "links", "tags", "menu", "data")
@@ -34,7 +35,7 @@ K = len(LABELS)
 
 #: Pages that the model is fitted on at most; a sample by hash, whatever the size of the corpus.
 FIT_PAGES = 5_000
-#: Characters of that sample at most on average, for corpora of very long pages.
+#: Characters of that sample at most, for corpora of very long pages.
 FIT_CHARS = 40_000_000
 ROUNDS = 3
 #: Words of a segment: longer lines are divided at the ends of sentences, or at twice this length.
@@ -73,25 +74,31 @@ def readable(line: str) -> str:
     return line
 
 
+def divided(line: str) -> list[str]:
+    """The segments of one line."""
+    line = readable(line).strip()
+    if line.count(" ") <= 1.5 * SEGMENT:
+        return [line] if line else []
+    out, words, start = [], line.split(), 0
+    for j, word in enumerate(words):
+        n = j + 1 - start
+        if n >= SEGMENT and (_END.search(word) or n >= 2 * SEGMENT):
+            out.append(" ".join(words[start : j + 1]))
+            start = j + 1
+    if start < len(words):
+        out.append(" ".join(words[start:]))
+    return out
+
+
 def segments(text: str) -> list[tuple[int, str]]:
     """(line number, segment) of all lines that hold a word."""
-    out = []
-    for i, line in enumerate(text.split("\n")):
-        line = readable(line).strip()
-        if not line:
-            continue
-        if line.count(" ") <= 1.5 * SEGMENT:
-            out.append((i, line))
-            continue
-        words, start = line.split(), 0
-        for j, word in enumerate(words):
-            n = j + 1 - start
-            if n >= SEGMENT and (_END.search(word) or n >= 2 * SEGMENT):
-                out.append((i, " ".join(words[start : j + 1])))
-                start = j + 1
-        if start < len(words):
-            out.append((i, " ".join(words[start:])))
-    return out
+    return [(i, s) for i, line in enumerate(text.split("\n")) for s in divided(line)]
+
+
+def words_of(segment: str) -> list[str]:
+    """Its words in lower case, without marks around them."""
+    own = [w.strip(_MARKS) for w in segment.lower().split()]
+    return [w for w in own if w]
 
 
 def _class(word: str) -> int:
@@ -145,8 +152,7 @@ def page(text: str) -> Page:
     chars = np.array([len(s) for _, s in cut_up], np.int64)
     pairs: Counter = Counter()
     for _, s in cut_up:
-        own = [w.strip(_MARKS) for w in s.lower().split()]
-        own = [w for w in own if w]
+        own = words_of(s)
         words.append(own)
         pairs.update(zip(own, own[1:]))
     for k, ((_, s), own) in enumerate(zip(cut_up, words)):
@@ -189,14 +195,51 @@ def _first_labels(p: Page, menus: set[str]) -> list[int]:
     return out
 
 
-def _menus(pages: list[Page]) -> set[str]:
-    """Texts of the short segments that begin or end many pages."""
-    count: Counter = Counter()
-    for p in pages:
-        seen = {" ".join(w) for w in p.words[:14] + p.words[-1:] if len(w) <= 30}
-        count.update(seen)
-    least = max(3, 0.004 * len(pages))
-    return {k for k, n in count.items() if n >= least}
+#: First segments of a page that can be boilerplate, and most words of such a segment.
+LEADING, MENU_WORDS = 14, 30
+#: Share of all pages that begin or end with a segment of boilerplate.
+MENU_SHARE = 0.004
+
+
+def ends(text: str) -> set[str]:
+    """Texts of the short segments that begin a page, and of the last one."""
+    out, lines = [], text.split("\n")
+    for line in lines:
+        out.extend(divided(line))
+        if len(out) >= LEADING:
+            break
+    out = out[:LEADING]
+    out.extend(next((own[-1:] for line in reversed(lines) if (own := divided(line))), []))
+    return {" ".join(w) for s in out if len(w := words_of(s)) <= MENU_WORDS}
+
+
+def frequent(pages: int) -> float:
+    """Pages that boilerplate is on at least."""
+    return max(3, MENU_SHARE * pages)
+
+
+def menus(documents: DataFrame, text: str = "text") -> set[str]:
+    """Segments that begin or end at least ``MENU_SHARE`` of all pages of the table.
+
+    Pages count their own segments, so at most (LEADING + 1) / MENU_SHARE texts
+    come out, whatever the size of the corpus. Batches are counted by the
+    workers, the rest is one aggregation.
+    """
+    schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("n", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: Counter = Counter()
+            for t in pieces(batch.column(text)):
+                if t:
+                    own.update(ends(t))
+                    own[""] += 1  # the pages
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), "string"), pa.array(own.values(), "i8")], schema=to_arrow_schema(schema))
+
+    counts = cut(documents.select(text).mapInArrow(count, schema).groupBy("segment").agg(F.sum("n").alias("n")), "segments")
+    pages = counts.where("segment = ''").first()
+    return {r["segment"] for r in counts.where((F.col("segment") != "") & (F.col("n") >= frequent(pages["n"]))).collect()} if pages else set()
 
 
 class LineModel:
@@ -206,14 +249,20 @@ class LineModel:
         self.vocabulary, self.words, self.features, self.start, self.moves = vocabulary, words, features, start, moves
 
     @classmethod
-    def fit(cls, texts: Iterable[str], rounds: int = ROUNDS) -> LineModel:
-        """Viterbi training from the clear segments of ``texts``; an empty sample gives the prior alone."""
+    def fit(cls, texts: Iterable[str], rounds: int = ROUNDS, menus: set[str] | None = None) -> LineModel:
+        """Viterbi training from the clear segments of ``texts``; an empty sample gives the prior alone.
+
+        ``menus`` are the texts of boilerplate segments, by default the frequent ones of ``texts``.
+        """
+        texts = [t for t in texts if t]
+        if menus is None:
+            seen = Counter(s for t in texts for s in ends(t) if s)
+            menus = {s for s, n in seen.items() if n >= frequent(len(texts))}
         pages = [p for p in (page(t) for t in texts if t) if p.words]
         occurs: Counter = Counter()
         for p in pages:
             occurs.update({w for own in p.words for w in own})
         vocabulary = {w: i + _CLASSES for i, w in enumerate(sorted(w for w, n in occurs.items() if n >= 3 and len(w) <= 30 and "�" not in w))}
-        menus = _menus(pages)
         labels = [_first_labels(p, menus) for p in pages]
         model = cls._counted(vocabulary, pages, labels)
         for _ in range(rounds):
@@ -293,13 +342,24 @@ JUDGED = T.StructType([*(T.StructField(f"{x}_chars", T.LongType()) for x in LABE
 
 
 def fitted(documents: DataFrame, text: str = "text", pages: int = FIT_PAGES) -> LineModel:
-    """A model of a hash sample of at most ``pages`` different texts and about ``FIT_CHARS`` characters."""
-    spread = documents.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    total, chars = spread.agg(F.count(F.lit(1)), F.sum(F.length("t").cast("long"))).first()
-    share = min(1.0, 0.95 * pages / total, FIT_CHARS / chars) if total else 0.0  # a little less, so that the limit hardly ever binds
+    """A model of a hash sample of at most ``pages`` different texts and ``FIT_CHARS`` characters in all; the boilerplate is counted over all texts.
+
+    Texts are taken in the order of their hash; one that does not fit into the characters that are left is passed over.
+    """
+    hashed = documents.where(F.length(text) > 0).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    total, chars = hashed.agg(F.count(F.lit(1)), F.sum(F.length("t").cast("long"))).first()
+    share = min(1.0, pages / total, FIT_CHARS / chars) if total else 0.0
     bound = F.lit(min(int((2 * share - 1) * 2**63), 2**63 - 1))
-    rows = spread.where(F.col("h") <= bound).dropDuplicates(["h"]).limit(pages).collect()
-    return LineModel.fit(r["t"] for r in sorted(rows, key=lambda r: r["h"]))
+    near = cut(hashed.where(F.col("h") <= bound).groupBy("h").agg(F.min("t").alias("t")), "sample")
+    # Hashes and lengths of about ``pages`` texts tell which are taken; only those are fetched.
+    sizes, left, taken = near.select("h", F.length("t").alias("n")).toArrow().sort_by("h").to_pylist(), FIT_CHARS, []
+    for r in sizes:
+        if len(taken) < pages and r["n"] <= left:
+            taken.append(r["h"])
+            left -= r["n"]
+    chosen = documents.sparkSession.createDataFrame([(h,) for h in taken], "h long")
+    rows = near.join(F.broadcast(chosen), "h").collect() if taken else []
+    return LineModel.fit((r["t"] for r in sorted(rows, key=lambda r: r["h"])), menus=menus(documents, text))
 
 
 def judged(documents: DataFrame, text: str = "text", model: LineModel | None = None) -> DataFrame:
@@ -327,4 +387,4 @@ def judged(documents: DataFrame, text: str = "text", model: LineModel | None = N
 
 def stuffed(documents: DataFrame) -> DataFrame:
     """``doc_id`` and ``stuffed_share`` of the pages that are stuffed for more than half."""
-    return judged(documents.select("doc_id", "text")).where(F.col("stuffed_share") > 0.5).select("doc_id", "stuffed_share")
+    return judged(spread(documents.select("doc_id", "text"), "doc_id")).where(F.col("stuffed_share") > 0.5).select("doc_id", "stuffed_share")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -42,6 +43,18 @@ def pieces(column: pa.Array, size: int = 128) -> Iterator[str | None]:
         yield from column.slice(lo, size).to_pylist()
 
 
+def spread(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``documents`` in at least as many partitions as there are task slots.
+
+    A table of few files (or row groups) is read by few tasks, however many
+    slots there are; its rows are then spread by a hash of ``key`` and text. Tables
+    with rows in enough partitions stay as they are, so a large corpus is never shuffled.
+    """
+    slots = documents.sparkSession.sparkContext.defaultParallelism
+    filled = documents.select(F.spark_partition_id().alias("p")).distinct().count()
+    return documents if filled >= slots else documents.repartition(slots, F.xxhash64(key, text))
+
+
 def measured(documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``documents`` without ``text`` but with ``n_tokens`` and ``content``.
 

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from kinvote.llm import packing, tokens
+from pyspark.sql import functions as F
 
 ITEMS = "item long, n_tokens long, source string, content long, bin_id string"
 
@@ -88,3 +89,40 @@ def test_documents(spark):
     assert {x["doc_id"] for x in packing.oversized(docs).collect()} == {5, 6}
     measured = {r["doc_id"]: r["content"] for r in tokens.measured(docs.withColumnRenamed("source", "Content")).collect()}
     assert measured[1] == measured[2] != measured[5] and measured[3] is None and measured[4] is None
+
+
+def test_loose_containers_are_packed_again_within_bounds(spark, monkeypatch):
+    """All parts of both passes hold few items, and hardly more containers are used."""
+    r = random.Random(7)
+    data = [(i, r.randrange(1, 60), "ab"[i % 2], None, "x") for i in range(3000)]
+    items = spark.createDataFrame(data, ITEMS)
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 300)
+    got = packing.fill_containers(items, 100).collect()
+    shards = Counter(x["bin_id"].split("-")[0] for x in got)
+    assert len(shards) >= 11 and max(shards.values()) < 450
+    assert len({x["bin_id"] for x in got}) <= 1.03 * sum(d[1] for d in data) / 100
+
+
+def test_names_are_the_same_in_every_run(spark):
+    data = [(i, 250 + i % 3, "a", i, "x") for i in range(50)] + [(7, 250, "a", 7, "x")] * 3
+    items = spark.createDataFrame(data, ITEMS)
+    runs = [sorted((x["bin_id"], x["item"], x["piece"]) for x in packing.fill_containers(items.repartition(n), 100).where("n_tokens = 100").collect()) for n in (1, 5)]
+    assert runs[0] == runs[1] and len({b for b, *_ in runs[0]}) == len(runs[0]) == 2 * len(data)
+
+
+def test_container_report(spark):
+    data = [(1, 30, "a", 5, "x"), (2, 30, "a", 5, "x"), (3, 250, "b", 6, "x"), (4, 0, "b", None, "x"), (5, 60, "a", 7, "x")]
+    items = spark.createDataFrame(data, ITEMS)
+    got = packing.container_report(items, packing.fill_containers(items, 100), 100).first().asDict()
+    assert {k: got[k] for k in ("overfull", "misstated", "lost", "cut_needlessly", "with_copies")} == dict.fromkeys(("overfull", "misstated", "lost", "cut_needlessly", "with_copies"), 0)
+    assert got["least"] == 4 and got["containers"] >= 4
+    bad = spark.createDataFrame([("x", 1, 0, 30, 60), ("x", 2, 0, 30, 60), ("y", 3, 0, 120, 99), ("z", 5, 0, 30, 30), ("z2", 5, 1, 30, 30)], "bin_id string, item long, piece int, n_tokens long, used long")
+    said = packing.container_report(items, bad, 100).first().asDict()
+    assert {k: said[k] for k in ("overfull", "misstated", "lost", "cut_needlessly", "with_copies")} == {"overfull": 1, "misstated": 1, "lost": 2, "cut_needlessly": 1, "with_copies": 1}
+
+
+def test_few_partitions_are_spread(spark):
+    one = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).coalesce(1)
+    assert tokens.spread(one, "doc_id").select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    many = one.repartition(9)
+    assert tokens.spread(many, "doc_id") is many

@@ -107,3 +107,27 @@ def test_many_bundles_are_merged(spark, monkeypatch):
     got = splits.split_training_rows(spark.createDataFrame(rows, SCHEMA))
     assert got.count() == len(rows)
     assert got.select("group_id", "split").distinct().count() == 89
+
+
+def test_coarser_bundles_still_meet_the_shares(spark, monkeypatch):
+    """3,000 groups of hundreds of sizes and profiles in at most 300 bundles."""
+    r, rows = random.Random(8), []
+    for g in range(3000):
+        size = int(r.paretovariate(1.2)) if g % 3 else r.randrange(1, 90)
+        rate = r.random()
+        rows += [(len(rows) + i, f"Q{g:08d}", None, int(r.random() < rate), "x") for i in range(min(size, 400))]
+    assert len({(sum(1 for _ in own), sum(x[3] for x in own)) for own in _by_group(rows)}) > 700
+    monkeypatch.setattr(splits, "MAX_BUNDLES", 300)
+    got = splits.split_training_rows(spark.createDataFrame(rows, SCHEMA)).collect()
+    size = Counter(x["split"] for x in got)
+    ones = Counter(x["split"] for x in got if rows[x["example_id"]][3])
+    for name, share in splits.SPLITS.items():
+        assert abs(size[name] / len(rows) - share) <= 0.01
+        assert ones[name] / size[name] == pytest.approx(sum(ones.values()) / len(rows), abs=0.03)
+
+
+def _by_group(rows):
+    own = defaultdict(list)
+    for x in rows:
+        own[x[1]].append(x)
+    return own.values()

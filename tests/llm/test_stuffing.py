@@ -101,3 +101,31 @@ def test_likeliest_sequence():
     best = max(weight(x) for x in itertools.product(range(stuffing.K), repeat=len(seen)))
     assert weight(model.label(p)) == pytest.approx(best)
     assert np.isfinite(seen).all()
+
+
+def test_boilerplate_is_counted_over_all_pages(spark):
+    r = random.Random(5)
+    pages = [(i, f"Site menu\n{prose(r, 3)}\nThe end" if i % 100 == 0 else prose(r, 3)) for i in range(1000)]
+    pages += [(5000, None), (5001, ""), (5002, " \n ")]
+    docs = spark.createDataFrame(pages, "doc_id long, text string")
+    want = stuffing.Counter(s for _, t in pages if t for s in stuffing.ends(t) if s)
+    assert stuffing.menus(docs) == {s for s, n in want.items() if n >= stuffing.frequent(1001)} >= {"site menu", "the end"}
+    assert stuffing.menus(docs.limit(0)) == set()
+
+
+def test_the_fitted_sample_is_bounded_in_characters(spark, monkeypatch):
+    r, seen = random.Random(6), []
+    docs = spark.createDataFrame([(i, prose(r, 200 if i % 10 == 0 else 2)) for i in range(300)], "doc_id long, text string")
+    fit = stuffing.LineModel.fit
+    monkeypatch.setattr(stuffing, "FIT_CHARS", 60_000)
+    monkeypatch.setattr(stuffing.LineModel, "fit", lambda texts, **how: seen.append(list(texts)) or fit(seen[-1], **how))
+    for _ in range(2):
+        stuffing.fitted(docs, pages=100)
+    assert 0 < sum(map(len, seen[0])) <= 60_000 and len(seen[0]) <= 100
+    assert seen[0] == seen[1]
+
+
+def test_a_page_of_one_line_and_of_many(spark):
+    assert stuffing.ends("a b") == {"a b"} and stuffing.ends("") == set() and stuffing.ends("\n \n") == set()
+    text = "\n".join(f"line {i}" for i in range(40))
+    assert stuffing.ends(text) == {f"line {i}" for i in [*range(14), 39]}
