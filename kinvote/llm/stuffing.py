@@ -107,7 +107,8 @@ def _class(word: str) -> int:
         return _BROKEN
     if "​" in word or _SPELT.match(word):
         return _SPELT_OUT
-    if "." in word and _LINK.fullmatch(word):
+    # An address, alone or in the markup of a link: [url=address]text[/url], [text](address), <a href="address">.
+    if "." in word and (found := _LINK.search(word)) and (len(found[0]) == len(word) or 2 * len(found[0]) > len(word) and any(c in word for c in "=[](<")):
         return _ADDRESS
     if len(word) > 30:
         return _LONG

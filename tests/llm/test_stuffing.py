@@ -129,3 +129,12 @@ def test_a_page_of_one_line_and_of_many(spark):
     assert stuffing.ends("a b") == {"a b"} and stuffing.ends("") == set() and stuffing.ends("\n \n") == set()
     text = "\n".join(f"line {i}" for i in range(40))
     assert stuffing.ends(text) == {f"line {i}" for i in [*range(14), 39]}
+
+
+@pytest.mark.parametrize("link", ["[url=http://www.a{0}.example/x{0}]lamp[/url]", "[lamp](https://a{0}.example/x{0})", '<a href="http://a{0}.example/long/way/{0}">lamp</a>', "www.a{0}.example"])
+def test_link_markup_is_a_list_of_links(corpus, link):
+    model = stuffing.LineModel.fit([t for _, t, _ in corpus])
+    r = random.Random(9)
+    body = " ".join(link.format(r.randrange(10**9)) for _ in range(60))
+    assert model.judge(page(r, body))[1] > 0.5
+    assert model.judge(page(r, prose(r, 6) + "\n" + link.format(1)))[1] < 0.5
