@@ -389,22 +389,82 @@ def _cyclic(walk: Walk) -> Iterator[pa.Table]:
 # ---- components beyond the bound: distributed rounds over written tables ----
 
 
-def _trimmed(links: DataFrame) -> DataFrame:
-    """Links of nodes that have both a parent and a child left, taken off layer by layer."""
-    links = cut(links.select("child", "parent").where("child <> parent"), "trim")
-    count = links.count()
+def _jumped(jumps: DataFrame, **merged: Callable[[Column, Column], Column]) -> DataFrame:
+    """Follow (node, to) by pointer jumping until no ``to`` is itself a node, in about log2 of the longest way.
+
+    ``merged`` combines further columns of a node (a) and of the node it points
+    to (b). Nodes that lead round in a circle keep a ``to`` that is a node; their
+    columns have then met all of the circle.
+    """
+    jumps = cut(jumps, "jumps")
+    count = jumps.count()
+    for _ in range(count.bit_length() + 1):
+        a, b = jumps.alias("a"), jumps.alias("b")
+        columns = [f(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c, f in merged.items()]
+        met = F.col("b.node").isNotNull()
+        after = cut(a.join(b, F.col("a.to") == F.col("b.node"), "left").select("a.node", F.coalesce("b.to", "a.to").alias("to"), *columns, met.alias("_met")), "jumps")
+        moved = not after.where("_met").isEmpty()
+        drop(jumps)
+        jumps = after.drop("_met")
+        jumps._kinvote_path = after._kinvote_path
+        if not moved:
+            break
+    return jumps
+
+
+def _middles(links: DataFrame) -> DataFrame:
+    """(node, up, down) of the nodes with exactly one parent and one child."""
+    ups = links.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("up"), F.count(F.lit(1)).alias("n")).where("n = 1").select("node", "up")
+    downs = links.groupBy(F.col("parent").alias("node")).agg(F.min("child").alias("down"), F.count(F.lit(1)).alias("n")).where("n = 1").select("node", "down")
+    return ups.join(downs, "node")
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, F.coalesce(b, a))
+
+
+def _shortened(links: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(links, ways, circles): chains of nodes with one parent and one child become one link.
+
+    ``ways`` (node, top, bottom) has what lies above and below the chain of each
+    left-out node, ``circles`` (node, cycle) the circles made of such nodes alone.
+    """
+    middles = cut(_middles(links), "middles")
+    if middles.isEmpty():
+        return links, None, None
+    up = _jumped(middles.select("node", F.col("up").alias("to"), F.col("node").alias("least")), least=_least)
+    down = _jumped(middles.select("node", F.col("down").alias("to")))
+    names = middles.select(F.col("node").alias("to"))
+    circles = cut(up.join(names, "to", "left_semi").select("node", F.col("least").alias("cycle")), "circles")
+    ways = cut(up.select("node", F.col("to").alias("top")).join(down.select("node", F.col("to").alias("bottom")), "node").join(circles, "node", "left_anti"), "ways")
+    rest = links.join(middles.select(F.col("node").alias("child")), "child", "left_anti").join(circles.select(F.col("node").alias("parent")), "parent", "left_anti")
+    passed = rest.join(ways.select(F.col("node").alias("parent"), "top"), "parent", "left").select("child", F.coalesce("top", "parent").alias("parent"))
+    return cut(passed.distinct(), "short"), ways, circles
+
+
+def _core(links: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(links, ways, groups): what is left when ends are taken off and chains shortened in turn, until neither changes anything.
+
+    Each round takes off the nodes without parents or children, which are on no
+    cycle, and then shortens the chains that this leaves, so trees of any depth
+    vanish in few rounds.
+    """
+    links = cut(links.select("child", "parent").distinct(), "core")
+    ways, groups, count = [], [], links.count()
     while count:
-        ups, downs = links.select(F.col("child").alias("node")).distinct(), links.select(F.col("parent").alias("node")).distinct()
-        inner = ups.join(downs, "node")
-        less = links.join(inner.withColumnRenamed("node", "child"), "child", "left_semi").join(inner.withColumnRenamed("node", "parent"), "parent", "left_semi")
-        less = cut(less.select("child", "parent"), "trim")
-        left = less.count()
-        drop(links)
-        links = less
+        groups.append(links.where("child = parent").select(F.col("child").alias("node"), F.col("child").alias("cycle")))
+        real = links.where("child <> parent")
+        inner = cut(real.select(F.col("child").alias("node")).intersect(real.select(F.col("parent").alias("node"))), "inner")
+        less = real.join(inner.withColumnRenamed("node", "child"), "child", "left_semi").join(inner.withColumnRenamed("node", "parent"), "parent", "left_semi")
+        links, way, circles = _shortened(cut(less.select("child", "parent"), "core"))
+        if way is not None:
+            ways.append(way)
+            groups.append(circles)
+        left = links.count()
         if left == count:
             break
         count = left
-    return links
+    return links, ways, groups
 
 
 def _spread_least(links: DataFrame, labels: DataFrame, source: str, target: str) -> DataFrame:
@@ -420,18 +480,27 @@ def _spread_least(links: DataFrame, labels: DataFrame, source: str, target: str)
             return labels
 
 
+def _merged(groups: list[DataFrame]) -> DataFrame:
+    """(node, cycle): groups that share a node become one, named by its least node."""
+    pairs = groups[0]
+    for x in groups[1:]:
+        pairs = pairs.unionByName(x)
+    pairs = cut(pairs.distinct(), "groups")
+    own = components(pairs.select(F.col("node").alias("u"), F.col("cycle").alias("v")))
+    return cut(pairs.select("node").distinct().join(own, "node", "left").select("node", F.coalesce("root", "node").alias("cycle")), "groups")
+
+
 def cycle_groups(links: DataFrame) -> DataFrame:
-    """(node, cycle) of all nodes on cycles of ``links``, by colouring in distributed rounds.
+    """(node, cycle) of all nodes on cycles of ``links``, in distributed rounds.
 
-    Every node takes the least node that reaches it upwards as its colour; the
+    Ends are taken off and chains shortened first (``_core``). In what is left
+    every node takes the least node that reaches it upwards as its colour; the
     nodes that reach their colour's node inside the colour form its cycle
-    group. Found groups are taken out and the rest goes on.
+    group. Found groups are taken out and the rest goes on. At last the nodes of
+    a chain between two nodes of one group are put into it.
     """
-    links = links.select("child", "parent").distinct()
-    found = links.where("child = parent").select(F.col("child").alias("node"), F.col("child").alias("cycle"))
-    rest = _trimmed(links)
-    groups = None
-    while rest.limit(1).count():
+    rest, ways, groups = _core(links)
+    while not rest.isEmpty():
         start = rest.select(F.explode(F.array("child", "parent")).alias("node")).distinct().select("node", F.col("node").alias("label"))
         colour = _spread_least(rest, cut(start, "colour"), "child", "parent")
         inside = rest.join(colour.select(F.col("node").alias("child"), F.col("label").alias("a")), "child").join(colour.select(F.col("node").alias("parent"), F.col("label").alias("b")), "parent").where("a = b")
@@ -441,42 +510,69 @@ def cycle_groups(links: DataFrame) -> DataFrame:
         reached = _spread_least(inside, marks, "parent", "child").where("label = 0").select("node")
         group = cut(colour.join(reached, "node").select("node", F.col("label").alias("cycle")), "group")
         several = group.join(group.groupBy("cycle").count().where("count > 1").select("cycle"), "cycle", "left_semi").select("node", "cycle")
-        groups = several if groups is None else groups.unionByName(several)
+        groups.append(several)
         gone = group.select("node")
-        rest = _trimmed(rest.join(gone.withColumnRenamed("node", "child"), "child", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti"))
-    if groups is not None:
-        found = groups.unionByName(found.join(groups, "node", "left_anti"))
-    return cut(found.distinct(), "cycles")
+        rest, more, found = _core(rest.join(gone.withColumnRenamed("node", "child"), "child", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti"))
+        ways, groups = ways + more, groups + found
+    if not groups:
+        return links.select(F.col("child").alias("node"), F.col("child").alias("cycle")).limit(0)
+    found = _merged(groups)
+    for way in reversed(ways):
+        ends = way.join(found.select(F.col("node").alias("top"), F.col("cycle").alias("a")), "top").join(found.select(F.col("node").alias("bottom"), F.col("cycle").alias("b")), "bottom")
+        found = cut(found.unionByName(ends.where("a = b").select("node", F.col("a").alias("cycle"))), "groups")
+    least = found.groupBy("cycle").agg(F.min("node").alias("least"))
+    return cut(found.join(least, "cycle").select("node", F.col("least").alias("cycle")), "cycles")
+
+
+def big_depths(links: DataFrame) -> DataFrame:
+    """(node, group, cycle, depth) of all nodes of ``links``; ``group`` is the node itself off the cycles.
+
+    Nodes with one parent jump to the next node above that has none or several;
+    only those with several are then lowered round by round, as often as they
+    follow each other on a shortest way.
+    """
+    cycles = cycle_groups(links)
+    nodes = cut(links.select(F.explode(F.array("child", "parent")).alias("node")).distinct().join(cycles, "node", "left").withColumn("group", F.coalesce("cycle", "node")), "big-nodes")
+    group = nodes.select("node", "group")
+    placed = links.join(group.toDF("child", "a"), "child").join(group.toDF("parent", "b"), "parent")
+    leaving = placed.where("a <> b").select(F.col("a").alias("node")).distinct()
+    tops = cut(nodes.where("node = group").select("node").join(leaving, "node", "left_anti"), "tops")
+    links = cut(links.join(tops.select(F.col("node").alias("child")), "child", "left_anti").where("child <> parent").select("child", "parent"), "upward")
+    each = cut(links.groupBy("child").agg(F.min("parent").alias("parent"), F.count(F.lit(1)).alias("n")), "parents")
+    single = _jumped(each.where("n = 1").select(F.col("child").alias("node"), F.col("parent").alias("to"), F.lit(1).alias("steps")), steps=lambda a, b: a + F.coalesce(b, F.lit(0)))
+    above = links.join(each.where("n > 1").select("child"), "child", "left_semi").join(single.toDF("parent", "to", "steps"), "parent", "left")
+    above = cut(above.groupBy("child", F.coalesce("to", "parent").alias("anchor")).agg(F.min(F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "anchors")
+    depth = cut(tops.select("node", F.lit(0).alias("depth")), "depths")
+    while True:
+        reached = above.join(depth.toDF("anchor", "up"), "anchor").groupBy(F.col("child").alias("node")).agg(F.min(F.col("steps") + F.col("up")).alias("got"))
+        after = cut(depth.join(reached, "node", "full").select("node", F.least("depth", "got").alias("depth"), (F.col("depth").isNull() | (F.col("got") < F.col("depth"))).alias("changed")), "depths")
+        changed = not after.where("changed").isEmpty()
+        drop(depth)
+        depth = after.select("node", "depth")
+        depth._kinvote_path = after._kinvote_path
+        if not changed:
+            break
+    hung = single.join(depth.toDF("to", "up"), "to").select("node", (F.col("steps") + F.col("up")).alias("depth"))
+    return cut(nodes.join(depth.unionByName(hung), "node"), "said")
 
 
 def big_described(links: DataFrame) -> DataFrame:
-    """What ``Hierarchy.described`` says, level by level from the tops down."""
+    """What ``Hierarchy.described`` says: the least parent one level up leads, and paths grow by doubling."""
     links = cut(links.select("child", "parent").distinct(), "big-links")
-    cycles = cycle_groups(links)
-    nodes = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct().join(cycles, "node", "left").withColumn("group", F.coalesce("cycle", "node"))
-    nodes = cut(nodes, "big-nodes")
-    group = nodes.select("node", "group")
-    out = links.join(group.select(F.col("node").alias("child"), F.col("group").alias("a")), "child").join(group.select(F.col("node").alias("parent"), F.col("group").alias("b")), "parent").where("a <> b").select(F.col("a").alias("node")).distinct()
-    level = cut(nodes.where("node = group").select("node").join(out, "node", "left_anti").select("node", F.lit(0).alias("depth"), F.col("node").alias("top"), F.array("node").alias("path")), "level")
-    levels, depth = [level], 0
-    seen = level.select("node")
-    while level.limit(1).count():
-        depth += 1
-        step = links.join(level.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.min(F.struct("parent", "top", "path")).alias("by"))
-        level = cut(step.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"), F.col("by.top").alias("top"), F.concat(F.array("node"), F.col("by.path")).alias("path")), "level")
-        levels.append(level)
-        seen = seen.unionByName(level.select("node"))
-    every = levels[0]
-    for x in levels[1:]:
-        every = every.unionByName(x)
-    return every.join(nodes, "node").select("node", F.lit(0).cast("long").alias("component"), "depth", "top", "path", F.col("cycle").isNotNull().alias("on_cycle"), "cycle", "group")
+    said = big_depths(links)
+    depth = said.select("node", "depth")
+    leads = links.join(depth.toDF("child", "a"), "child").join(depth.toDF("parent", "b"), "parent").where("b = a - 1").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("to"))
+    paths = _jumped(leads.select("node", "to", F.array("node").alias("path")), path=lambda a, b: F.concat(a, F.coalesce(b, F.array().cast("array<bigint>"))))
+    out = said.join(paths, "node", "left").select("node", "depth", F.coalesce("to", "node").alias("top"), F.when(F.col("to").isNull(), F.array("node")).otherwise(F.concat("path", F.array("to"))).alias("path"), "cycle")
+    return out.select("node", F.lit(0).cast("long").alias("component"), "depth", "top", "path", F.col("cycle").isNotNull().alias("on_cycle"), "cycle")
 
 
 def _kept_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links that paths may use, the others)."""
-    said = cut(big_described(links).select("node", "depth", "group"), "said")
+    links = cut(links.select("child", "parent").distinct(), "big-links")
+    said = big_depths(links).select("node", "depth", "group")
     c, p = said.toDF("child", "cd", "cg"), said.toDF("parent", "pd", "pg")
-    both = links.select("child", "parent").join(c, "child").join(p, "parent")
+    both = links.join(c, "child").join(p, "parent")
     keep = (F.col("cg") != F.col("pg")) | (F.col("pd") < F.col("cd"))
     return both.where(keep).select("child", "parent"), both.where(~keep).select("child", "parent")
 

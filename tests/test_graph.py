@@ -9,6 +9,7 @@ import pytest
 from kinvote.operators import hierarchy
 from kinvote.operators.components import components, forest
 from kinvote.operators.hierarchy import Hierarchy, Walk, term_links
+from pyspark.sql import functions as F
 
 
 def brute_components(edges):
@@ -134,6 +135,20 @@ def test_relatives_agree_with_plain_python():
         assert got == {x: v for x, v in want.items() if v}
 
 
+def test_cycles_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """100,000 steps with side branches and two cycles, one of them as long as half the chain."""
+    n, tables, cut = 100_000, [], hierarchy.cut
+    monkeypatch.setattr(hierarchy, "cut", lambda *a: tables.append(a[1]) or cut(*a))
+    chain = spark.range(n).select(F.col("id").alias("child"), (F.col("id") + 1).alias("parent"))
+    sides = spark.range(0, n, 7).select((F.col("id") + 10 * n).alias("child"), F.col("id").alias("parent"))
+    circles = spark.createDataFrame([(n // 2, 5), (n - 10, n - 20)], "child long, parent long")
+    h = Hierarchy(chain.unionByName(sides).unionByName(circles), spark.createDataFrame([], "node long"), max_links=1000)
+    got = h.cycles().groupBy("cycle").count().collect()
+    assert {(r["cycle"], r["count"]) for r in got} == {(5, n // 2 - 4), (n - 20, 11)}
+    assert [tuple(r) for r in h.back_links().orderBy("child").collect()] == [(n // 2, 5), (n - 10, n - 20)]
+    assert len(tables) < 250
+
+
 def test_back_links_close_every_cycle(spark):
     links = set(graph(3))
     h = Hierarchy(spark.createDataFrame(list(links), "child long, parent long"), spark.createDataFrame([], "node long"))
