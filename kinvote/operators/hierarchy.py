@@ -519,7 +519,9 @@ def cycle_groups(links: DataFrame) -> DataFrame:
     found = _merged(groups)
     for way in reversed(ways):
         ends = way.join(found.select(F.col("node").alias("top"), F.col("cycle").alias("a")), "top").join(found.select(F.col("node").alias("bottom"), F.col("cycle").alias("b")), "bottom")
-        found = cut(found.unionByName(ends.where("a = b").select("node", F.col("a").alias("cycle"))), "groups")
+        ends = cut(ends.where("a = b").select("node", F.col("a").alias("cycle")), "ends")
+        # A node of the chain that was known so far links to itself and is now in a larger group.
+        found = cut(found.join(ends, "node", "left_anti").unionByName(ends), "groups")
     least = found.groupBy("cycle").agg(F.min("node").alias("least"))
     return cut(found.join(least, "cycle").select("node", F.col("least").alias("cycle")), "cycles")
 

@@ -135,6 +135,28 @@ def test_relatives_agree_with_plain_python():
         assert got == {x: v for x, v in want.items() if v}
 
 
+def test_many_random_graphs_beyond_the_bound(spark):
+    """Sparse, layered and circular graphs side by side, against the walk in memory."""
+    links = set()
+    for g in range(150):
+        r = random.Random(g)
+        n, style = r.randrange(2, 14), g % 3
+        for _ in range(r.randrange(1, 3 * n)):
+            a, b = r.randrange(n), r.randrange(n)
+            if style == 1 and a < b and r.random() < 0.9:
+                a, b = b, a
+            if style == 2 and r.random() < 0.8:
+                b = (a + 1) % n
+            links.add((g * 100 + a, g * 100 + b))
+    walk = Walk(*np.array(sorted(links)).T)
+    rows = spark.createDataFrame(sorted(links), "child long, parent long")
+    name = walk.names.tolist()
+    cyclic = {name[i]: name[walk.group[i]] for i in range(walk.n) if walk.on_cycle[i]}
+    got = {r["node"]: (r["depth"], r["path"], r["cycle"]) for r in hierarchy.big_described(rows).collect()}
+    assert got == {name[i]: (int(walk.depth[i]), [name[x] for x in walk.path(i)], cyclic.get(name[i])) for i in range(walk.n)}
+    assert {tuple(r) for r in hierarchy._kept_links(rows)[1].collect()} == {(name[c], name[p]) for c, p in walk.back.T}
+
+
 def test_cycles_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     """100,000 steps with side branches and two cycles, one of them as long as half the chain."""
     n, tables, cut = 100_000, [], hierarchy.cut
