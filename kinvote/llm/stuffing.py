@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,13 +174,12 @@ def page(text: str) -> Page:
     return Page(lines, chars, words, features)
 
 
-def _first_labels(p: Page, menus: set[str]) -> list[int]:
+def _first_labels(p: Page, menus: set[int]) -> list[int]:
     """Labels of the clear segments, -1 for the others."""
     out, leading, n = [], True, len(p.words)
     for k, (own, f) in enumerate(zip(p.words, p.features)):
         length, end, separators, alike, linked, again, _, tagged, digits = f.tolist()
-        key = " ".join(own)
-        if (leading or k >= n - 2) and key in menus:
+        if (leading or k >= n - 2) and hashed(" ".join(own)) in menus:
             out.append(MENU)
             continue
         leading = False
@@ -214,33 +214,38 @@ def ends(text: str) -> set[str]:
     return {" ".join(w) for s in out if len(w := words_of(s)) <= MENU_WORDS}
 
 
+def hashed(segment: str) -> int:
+    """64 bits that stand for a segment while all of them are counted."""
+    return xxhash.xxh3_64_intdigest(segment) - (1 << 63)
+
+
 def frequent(pages: int) -> float:
     """Pages that boilerplate is on at least."""
     return max(3, MENU_SHARE * pages)
 
 
-def menus(documents: DataFrame, text: str = "text") -> set[str]:
-    """Segments that begin or end at least ``MENU_SHARE`` of all pages of the table.
+def menus(documents: DataFrame, text: str = "text") -> set[int]:
+    """Hashes of the segments that begin or end at least ``MENU_SHARE`` of all pages of the table.
 
-    Pages count their own segments, so at most (LEADING + 1) / MENU_SHARE texts
+    Pages count their own segments, so at most (LEADING + 1) / MENU_SHARE
     come out, whatever the size of the corpus. Batches are counted by the
-    workers, the rest is one aggregation.
+    workers, the rest is one aggregation; null stands for the pages.
     """
-    schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own: Counter = Counter()
             for t in pieces(batch.column(text)):
                 if t:
-                    own.update(ends(t))
-                    own[""] += 1  # the pages
+                    own.update(map(hashed, ends(t)))
+                    own[None] += 1
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), "string"), pa.array(own.values(), "i8")], schema=to_arrow_schema(schema))
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), "i8"), pa.array(own.values(), "i8")], schema=to_arrow_schema(schema))
 
     counts = cut(documents.select(text).mapInArrow(count, schema).groupBy("segment").agg(F.sum("n").alias("n")), "segments")
-    pages = counts.where("segment = ''").first()
-    return {r["segment"] for r in counts.where((F.col("segment") != "") & (F.col("n") >= frequent(pages["n"]))).collect()} if pages else set()
+    pages = counts.where("segment is null").first()
+    return {r["segment"] for r in counts.where(F.col("segment").isNotNull() & (F.col("n") >= frequent(pages["n"]))).collect()} if pages else set()
 
 
 class LineModel:
@@ -250,14 +255,14 @@ class LineModel:
         self.vocabulary, self.words, self.features, self.start, self.moves = vocabulary, words, features, start, moves
 
     @classmethod
-    def fit(cls, texts: Iterable[str], rounds: int = ROUNDS, menus: set[str] | None = None) -> LineModel:
+    def fit(cls, texts: Iterable[str], rounds: int = ROUNDS, menus: set[int] | None = None) -> LineModel:
         """Viterbi training from the clear segments of ``texts``; an empty sample gives the prior alone.
 
-        ``menus`` are the texts of boilerplate segments, by default the frequent ones of ``texts``.
+        ``menus`` are the hashes of boilerplate segments, by default the frequent ones of ``texts``.
         """
         texts = [t for t in texts if t]
         if menus is None:
-            seen = Counter(s for t in texts for s in ends(t) if s)
+            seen = Counter(hashed(s) for t in texts for s in ends(t))
             menus = {s for s, n in seen.items() if n >= frequent(len(texts))}
         pages = [p for p in (page(t) for t in texts if t) if p.words]
         occurs: Counter = Counter()
