@@ -323,7 +323,9 @@ def candidates(queries: DataFrame, refs: DataFrame, curves: Curves) -> DataFrame
     nth = Window.partitionBy("edge").orderBy(F.when(F.col("edge").endswith(":-1"), -F.col("place")).otherwise(F.col("place")))
     carried = given.withColumn("_nth", F.row_number().over(nth)).join(F.broadcast(plan), F.col("edge") == F.col("source")).where(F.col("_nth") <= F.col("refs"))
     edges = carried.withColumn("edge", F.col("target")).select(*_HITS.names).unionByName(asked).groupBy("edge").applyInArrow(lambda t: _edge(t, curves), _PAIRS)
-    merged = found.where("edge is null").select(*_PAIRS.names).unionByName(edges).groupBy("query_id", "owner", "ref_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("hits"))
+    # One exchange by query serves the merging, the best vector of every owner and the ranking.
+    merged = found.where("edge is null").select(*_PAIRS.names).unionByName(edges).repartition("query_id")
+    merged = merged.groupBy("query_id", "owner", "ref_id").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("hits"))
     # A query has at most 2 * window * curves rows here (and as many of boundaries), so its ranking is bounded.
     best = F.max(F.struct("similarity", (-F.col("ref_id")).alias("ref"), "hits")).over(Window.partitionBy("query_id", "owner"))
     merged = merged.withColumn("b", best).where(F.col("similarity") >= F.col("b.similarity") - _code_error(F.col("b.similarity")))
@@ -340,7 +342,7 @@ def exact(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(query_id, ref_id) of the ``k`` nearest accessions by cosine distance, each at its nearest vector; ties go to the smaller accession.
 
     ``queries`` (query_id, q) and ``refs`` (ref_id, ref_accession, r) with usable
-    vectors of doubles. Every block of queries meets every block of references
+    vectors. Every block of queries meets every block of references
     once and passes on its ``k`` best accessions of a query.
     """
     arrow = to_arrow_schema(_MET)
@@ -349,7 +351,7 @@ def exact(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
         return queries.sparkSession.createDataFrame([], _MET).select("query_id", "ref_id")
 
     def unit(vectors: pa.ChunkedArray) -> np.ndarray:
-        x = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        x = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1).astype(np.float64)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
@@ -410,8 +412,10 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     # Equal query vectors are searched once, as the least of their ids.
     coded_queries = cut(every.groupBy("name").agg(F.min("id").alias("id"), F.first("code").alias("code"), F.count(F.lit(1)).alias("n")), "query-codes")
     pairs = cut(candidates(coded_queries.select("id", "code"), coded_refs, curves), "pairs")
-    r = refs.select(F.col("ref_pos").alias("ref_id"), "ref_accession", doubles("embedding").alias("r"))
-    q = queries.select(F.col("query_pos").alias("query_id"), doubles("embedding").alias("q"))
+    # Vectors are moved as they are stored and their lengths beside them; only distances are worked out in doubles.
+    length = F.sqrt(dot(doubles("embedding"), doubles("embedding")))
+    r = refs.select(F.col("ref_pos").alias("ref_id"), "ref_accession", F.col("embedding").alias("r"), length.alias("r_length"))
+    q = queries.select(F.col("query_pos").alias("query_id"), F.col("embedding").alias("q"), length.alias("q_length"))
     enough = min(k, coded_refs.select("owner").distinct().limit(k).count())
     sure = pairs.where(F.col("place") <= enough).groupBy("query_id").agg(F.max("place").alias("n"), F.min("hits").alias("hits"), F.min("similarity").alias("last")).where((F.col("n") >= enough) & (F.col("hits") >= curves.agree))
     # Where the accessions next in order are as near as one-byte numbers can tell, the best k may be among those that windows left out.
@@ -422,12 +426,12 @@ def most_similar(queries: DataFrame, refs: DataFrame, k: int = 5, curves: Curves
     if not entries.where("n > 1").isEmpty():
         pairs = pairs.unionByName(pairs.join(others, "ref_id").select("query_id", F.col("other").alias("ref_id")))
     if enough and not unsure.isEmpty():
-        more = exact(unsure.join(q, "query_id"), one.select(F.col("id").alias("ref_id")).join(r, "ref_id"), max(k, curves.final))
+        more = exact(unsure.join(q, "query_id").drop("q_length"), one.select(F.col("id").alias("ref_id")).join(r, "ref_id").drop("r_length"), max(k, curves.final))
         pairs = pairs.join(unsure, "query_id", "left_anti").unionByName(cut(more, "exact-pairs"))
     ranked = (
         pairs.join(r, "ref_id")
         .join(q, "query_id")
-        .select("query_id", "ref_accession", (1 - dot("q", "r") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("r", "r")))).alias("distance"))
+        .select("query_id", "ref_accession", (1 - dot(doubles("q"), doubles("r")) / (F.col("q_length") * F.col("r_length"))).alias("distance"))
         .groupBy("query_id", "ref_accession")
         .agg(F.min("distance").alias("distance"))
     )
