@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -20,6 +21,7 @@ def connect(at: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     con.execute("SET memory_limit='10GB'")
+    con.execute(f"SET temp_directory='{tempfile.gettempdir()}/oracle'")
     for p in Path(at).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}{'/*.parquet' if p.is_dir() else ''}')")
     return con
