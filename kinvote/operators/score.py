@@ -342,7 +342,11 @@ def score_by_aspect(rows: DataFrame, models: dict[str, Model], feature_cols: lis
 
 
 def encode_factorize(rows: DataFrame, columns: list[str], row_pos: str, empty_is_missing: bool = True) -> DataFrame:
-    """Replace each of ``columns`` by codes 0, 1, ... in the order of first appearance by ``row_pos``; missing is -1."""
+    """Replace each of ``columns`` by codes 0, 1, ... in the order of first appearance by ``row_pos``; missing is -1.
+
+    The distinct values of a column are ranked in one task, one small row each;
+    for columns with very many of them give a vocabulary instead.
+    """
     out = rows
     for c in columns:
         value = F.nullif(F.col(c), F.lit("")) if empty_is_missing else F.col(c)

@@ -364,6 +364,27 @@ def pca_fit_project(spark, at):
     return rows.select("query_pos", *[F.round(F.col("projection")[i], 6).alias(f"emb_pca_query_{i}") for i in range(16)])
 
 
+@query("SELECT i::INT AS component, true centred, true uncorrelated, true ordered FROM range(16) t(i)")
+def pca_fit_check(spark, at):
+    """Whether the fitted references have mean 0 on every component, no covariance with another, and no more variance than on the one before."""
+    refs = table(spark, at, "refs")
+    state = fit_embedding_pca(refs, dim=fixtures.DIM)
+    n = len(state.components)
+    said = project(refs, state).select(*[F.col("projection")[i].alias(f"c{i}") for i in range(n)])
+    one = said.agg(*[F.avg(f"c{i}").alias(f"m{i}") for i in range(n)], *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{min(i, j)}_{max(i, j)}") for i in range(n) for j in range(i, n)])
+    small = lambda x: F.abs(x) <= 1e-9 * F.col("v0_0")
+    every = lambda conditions: F.array_min(F.array(F.lit(True), *conditions))
+    rows = [
+        F.struct(
+            F.lit(i).alias("component"), (F.abs(F.col(f"m{i}")) <= 1e-9 * F.sqrt("v0_0")).alias("centred"),
+            every([small(F.col(f"v{min(i, j)}_{max(i, j)}")) for j in range(n) if j != i]).alias("uncorrelated"),
+            every([F.col(f"v{i}_{i}") <= F.col(f"v{i - 1}_{i - 1}")] if i else []).alias("ordered"),
+        )
+        for i in range(n)
+    ]
+    return one.select(F.inline(F.array(*rows)))
+
+
 # ---- lineage ----
 
 _LINKS = r"""
