@@ -23,8 +23,8 @@ SEED = 23
 _BOUNDS = T.StructType([T.StructField("_bundle", T.StringType()), T.StructField("_split", T.StringType()), T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType())])
 
 
-def groups(members: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, group_id, group_size) for ``members`` (id L) tied by ``keys`` (id L, kind S, key S).
+def tied(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, group_id) for ``members`` (id L) tied by ``keys`` (id L, kind S, key S), as a written table.
 
     Two ids with the same (kind, key) are tied, directly or through others;
     ``group_id`` is the least id of the group. A key with any number of rows is
@@ -41,9 +41,14 @@ def groups(members: DataFrame, keys: DataFrame) -> DataFrame:
     links = own.where("n > 1").select(F.col("rep").alias("u"), F.col("far").alias("v")).unionByName(middle)
     roots = components(links).select(F.col("node").alias("rep"), "root")
     placed = own.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("group_id"))
-    tied = cut(members.join(placed, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id")), "groups")
-    sizes = tied.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).withColumn("_n", F.col("group_size"))
-    return counted_join(tied, sizes, ["group_id"], "_n", ["id"])
+    return cut(members.join(placed, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id")), "groups")
+
+
+def groups(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """``tied`` with ``group_size``."""
+    grouped = tied(members, keys)
+    sizes = grouped.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size")).withColumn("_n", F.col("group_size"))
+    return counted_join(grouped, sizes, ["group_id"], "_n", ["id"])
 
 
 class _Flow:
@@ -171,7 +176,7 @@ def _profile(size: Column, positives: Column, way: tuple[int, int] | None) -> Co
 
 
 def assign(records: DataFrame, grouped: DataFrame, label: str = "label", shares: dict[str, float] = SPLITS) -> DataFrame:
-    """``grouped`` (id, group_id, group_size) with the ``split`` of its group.
+    """``grouped`` (id, group_id; a written table) with ``group_size`` and ``split`` of the group.
 
     ``records`` (id L, ``label``) gives the label profile: how many ids of a
     group have label 1 (the largest label of an id counts; null labels count as
@@ -206,8 +211,8 @@ def assign(records: DataFrame, grouped: DataFrame, label: str = "label", shares:
             start += n
     placed = positioned(numbered(bundled.select("_bundle", "group_id", F.col("size").alias("_size"), F.xxhash64(F.lit(SEED), "group_id").alias("_hash")), "_bundle", ["_hash", "group_id"]), "_bundle")
     # At most MAX_BUNDLES * number of splits rows.
-    chosen = placed.join(F.broadcast(spark.createDataFrame(bounds, _BOUNDS)), "_bundle").where("_pos > _from and _pos <= _to").select("group_id", F.col("_size"), F.col("_split").alias("split"))
-    return counted_join(grouped, chosen, ["group_id"], "_size", ["id"]).select(*grouped.columns, "split")
+    chosen = placed.join(F.broadcast(spark.createDataFrame(bounds, _BOUNDS)), "_bundle").where("_pos > _from and _pos <= _to").select("group_id", F.col("_size").alias("group_size"), F.col("_split").alias("split"), "_size")
+    return counted_join(grouped, chosen, ["group_id"], "_size", ["id"]).select("id", "group_id", "group_size", "split")
 
 
 def split_training_rows(rows: DataFrame, shares: dict[str, float] = SPLITS) -> DataFrame:
@@ -221,5 +226,4 @@ def split_training_rows(rows: DataFrame, shares: dict[str, float] = SPLITS) -> D
     """
     rows = rows.select(F.col("example_id").alias("id"), clean.accession_core(F.col("protein_accession")).alias("core"), clean.checksum_key(F.col("seq_checksum")).alias("checksum"), "label").where("id is not null")
     keys = rows.select("id", F.explode(F.array(F.struct(F.lit("a").alias("kind"), F.col("core").alias("key")), F.struct(F.lit("c").alias("kind"), F.col("checksum").alias("key")))).alias("k")).select("id", "k.kind", "k.key")
-    grouped = cut(groups(rows, keys), "grouped")
-    return assign(rows, grouped, "label", shares).select(F.col("id").alias("example_id"), "group_id", "group_size", "split")
+    return assign(rows, tied(rows, keys), "label", shares).select(F.col("id").alias("example_id"), "group_id", "group_size", "split")
