@@ -279,6 +279,32 @@ def _from_lightgbm(text: str) -> TreeEnsemble:
     return TreeEnsemble(trees, names, 0.0, output, float(options.get("sigmoid", 1.0)))
 
 
+def to_lightgbm(model: TreeEnsemble) -> str:
+    """The ensemble in that format, with what predictions need; a bias becomes a tree of one leaf."""
+    names = model.feature_names()
+    objectives = {"raw": "regression", "sigmoid": f"binary sigmoid:{model.slope:.17g}", "exp": "poisson", "square": "regression sqrt", "mean": "regression"}
+    head = ["tree", "version=v4", "num_class=1", "num_tree_per_iteration=1", "label_index=0", f"max_feature_idx={len(names) - 1}", f"objective={objectives[model.output]}"]
+    out = [*head, *(["average_output"] if model.output == "mean" else []), f"feature_names={' '.join(names)}", ""]
+    for k, tree in enumerate(([[Node(value=model.bias)]] if model.bias else []) + model.trees):
+        inner, leaves = [i for i, n in enumerate(tree) if n.feature is not None], [i for i, n in enumerate(tree) if n.feature is None]
+        place = {i: k for k, i in enumerate(inner)} | {i: -1 - k for k, i in enumerate(leaves)}
+        sets = [tree[i].categories for i in inner if tree[i].categories is not None]
+        words = [[sum(1 << c % 32 for c in own if c // 32 == w) for w in range(1 + max(own, default=0) // 32)] for own in map(set, sets)]
+        coded = iter(range(len(sets)))
+        lines = {
+            "num_leaves": [len(leaves)], "num_cat": [len(sets)],
+            "split_feature": [names.index(tree[i].feature) for i in inner],
+            "threshold": [f"{tree[i].threshold:.17g}" if tree[i].categories is None else next(coded) for i in inner],
+            "decision_type": [(tree[i].categories is not None) | tree[i].default_left << 1 | MISSING.index(tree[i].missing) << 2 for i in inner],
+            "left_child": [place[tree[i].left] for i in inner], "right_child": [place[tree[i].right] for i in inner],
+            "leaf_value": [f"{tree[i].value:.17g}" for i in leaves],
+            **({"cat_boundaries": np.cumsum([0, *map(len, words)]).tolist(), "cat_threshold": sum(words, [])} if sets else {}),
+            "is_linear": [0], "shrinkage": [1],
+        }
+        out += [f"Tree={k}", *(f"{key}={' '.join(map(str, values))}" for key, values in lines.items()), "", ""]
+    return "\n".join([*out, "end of trees", ""])
+
+
 def _lines(section: str) -> dict[str, str]:
     return dict(line.split("=", 1) for line in section.splitlines() if "=" in line)
 

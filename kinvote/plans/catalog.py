@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinvote.plans import hierarchy, skew, transfer
+from kinvote.plans import artifacts, hierarchy, skew, transfer
 
-_PARTS = (transfer, skew, hierarchy)
+_PARTS = (transfer, artifacts, skew, hierarchy)
 
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}

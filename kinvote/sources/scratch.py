@@ -36,15 +36,21 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def place(spark: SparkSession, name: str, ending: str = "") -> str:
+    """A new path in the shared folder, deleted like the tables of ``cut``."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}{ending}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._kinvote_path = path
     return out

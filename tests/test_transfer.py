@@ -334,6 +334,7 @@ def test_lightgbm_text(spark, monkeypatch, limit):
     assert model.feature_names() == ["x", "y", "c"] and score.model_from_string(model.to_string()) == model
     got = {r["row"]: r["reranker_score"] for r in score.apply_reranker(rows, model).collect()}
     assert got == pytest.approx({i: plain_lightgbm(*v) for i, v in enumerate(values)})
+    assert score.model_from_string(score.to_lightgbm(model)) == model
     without = {r["row"]: r["reranker_score"] for r in score.apply_reranker(rows.drop("c"), model).collect()}
     assert without == pytest.approx({i: plain_lightgbm(x, y, None) for i, (x, y, _) in enumerate(values)})
     for wrong in (LIGHTGBM.replace("num_class=1", "num_class=3"), LIGHTGBM.replace("leaf_value=0.1 0.2 -0.3", "leaf_value=0.1"), LIGHTGBM.replace("is_linear=0", "is_linear=1"), "tree\n"):
@@ -363,6 +364,16 @@ def test_batches_and_cases_agree_to_the_bit(spark, monkeypatch):
     assert got[0] == got[1] and len(set(got[0].values())) > 100
 
 
+def test_written_models_are_read_as_they_were():
+    shift = score.TreeEnsemble([[score.Node("x", 0.1, 1, 2, False, missing="zero"), score.Node(value=1 / 3), score.Node(value=-2.5)]], ["x"], 0.25, "exp")
+    back = score.model_from_string(score.to_lightgbm(shift))
+    assert back.trees == [[score.Node(value=0.25)], *shift.trees] and back.output == "exp"
+    assert score.model_from_string(score.to_lightgbm(forest(20, 7))).trees[3] != []
+    for output in ("raw", "sigmoid", "exp", "square", "mean"):
+        one = score.TreeEnsemble([[score.Node(value=0.5)]], ["x"], output=output)
+        assert score.model_from_string(score.to_lightgbm(one)) == one
+
+
 def test_many_trees(spark):
     rows = spark.range(20_000).select("id", *[F.randn(i).alias(f"f{i}") for i in range(12)])
     began = time.time()
