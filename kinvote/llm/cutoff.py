@@ -49,7 +49,8 @@ def cutoffs(table: DataFrame, source: str, score: str, targets: dict[str, str])
         .where((F.col("before") < F.col("want")) & (F.col("want") <= F.col("before") + F.col("n")))
         .select("_source", "target", "total", (F.col("first") + F.col("want") - F.col("before") - 1).alias("_at"))
     )
-    found = table.join(placed, (table[source] == placed["_source"]) & (table["_row"] == placed["_at"])).select(
+    # One place per source of ``targets``, so the table itself is not moved to find the rows.
+    found = table.join(F.broadcast(placed), (table[source] == placed["_source"]) & (table["_row"] == placed["_at"])).select(
         placed["_source"], placed["target"], table[score].alias("cutoff"), placed["total"]
     )
     found = cut(found, "cutoff-rows")
