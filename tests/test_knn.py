@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from kinvote.operators import knn
@@ -138,3 +140,46 @@ def test_the_dimension_is_that_of_most_references(spark, sides):
     for strategy in ("block", "jvm"):
         assert hits(knn.knn_join(queries, short.unionByName(refs), 5, strategy=strategy)) == brute(q, r, 5, "cosine")
     assert knn.usable(short.unionByName(refs)).count() == len(r)
+
+
+def worker_mb():
+    """The most memory that any Python worker has had, in MB."""
+    most = 0
+    for p in Path("/proc").glob("[0-9]*"):
+        try:
+            if b"pyspark.daemon" in (p / "cmdline").read_bytes():
+                most = max([most, *(int(x.split()[1]) for x in (p / "status").read_text().splitlines() if x.startswith("VmHWM"))])
+        except OSError:
+            pass
+    return most // 1024
+
+
+@pytest.fixture(scope="module")
+def large_sides(spark):
+    """So many pairs that a worker must not hold those of a block at once."""
+    vector = F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("embedding")
+    queries = spark.range(0, 4096, 1, 1).select(F.col("id").alias("query_pos"), F.concat(F.lit("Q"), "id").alias("protein_accession"), vector)
+    refs = spark.range(5000, 5000 + 16384, 1, 1).select(F.col("id").alias("ref_pos"), F.concat(F.lit("R"), F.col("id") % 9000).alias("ref_accession"), vector)
+    return queries.cache(), refs.cache()
+
+
+def columns(df, pos):
+    got = df.orderBy(pos).toPandas()
+    return got[pos].to_numpy(), np.array(got["embedding"].tolist(), "f8")
+
+
+def whole_matrix(large_sides, metric):
+    queries, refs = large_sides
+    before = worker_mb()
+    d = knn.distance_matrix(queries, refs, metric, 4)
+    got = d.where("query_pos % 1000 = 7").toPandas().sort_values(["query_pos", "ref_pos"])
+    (qp, q), (rp, r) = columns(queries, "query_pos"), columns(refs, "ref_pos")
+    some = qp % 1000 == 7
+    assert got["query_pos"].tolist() == np.repeat(qp[some], len(rp)).tolist() and got["ref_pos"].tolist() == np.tile(rp, some.sum()).tolist()
+    assert np.allclose(got["distance"], knn.matrix_distance(q[some], r, metric).ravel(), atol=1e-11)
+    assert d.count() == 4096 * 16384
+    assert worker_mb() < max(before, 500)
+
+
+def test_l2_matrix_is_given_out_in_slabs(large_sides):
+    whole_matrix(large_sides, "l2")
