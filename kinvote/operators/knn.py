@@ -120,14 +120,12 @@ def _stack(vectors: pa.ChunkedArray) -> np.ndarray:
 
 
 def _best(near: np.ndarray, refs: np.ndarray, names: np.ndarray | None, k: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, reference, distance) of one block: all, or the best ``k`` of each row by (distance, reference).
+    """(query row, reference, distance) of one slab: all, or the best ``k`` of each row by (distance, reference).
 
-    With ``names`` every name counts once, at its closest reference.
+    With ``names`` every name counts once, at its closest reference; the columns are in order of (name, reference) then.
     """
     starts = None
     if names is not None:
-        order = np.lexsort((refs, names))
-        near, refs, names = near[:, order], refs[order], names[order]
         starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
         columns, near = near, np.minimum.reduceat(near, starts, axis=1)
     if k is None or k >= near.shape[1]:
@@ -182,18 +180,24 @@ def _met(q: DataFrame, r: DataFrame, keys: list[str], k: int | None, metric: str
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
         if not (q.num_rows and r.num_rows):
             return arrow.empty_table()
-        asks, own_refs = _stack(q["embedding"]), _stack(r["embedding"])
-        d = matrix_distance(asks, own_refs, metric, pre_normalized)
+        if dedupe:  # the rows of an accession stand together, for the slabs
+            names = np.unique(r["ref_accession"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1]
+            order = np.lexsort((r["ref_pos"].to_numpy(), names))
+            r, names = r.take(pa.array(order)), names[order]
+        asks, all_refs = _stack(q["embedding"]), _scaled(_stack(r["embedding"]), metric, pre_normalized)
         qp, rp, banks, parts = q["query_pos"].to_numpy(), r["ref_pos"].to_numpy(), r["banks"].to_pylist(), []
-        names = np.unique(r["ref_accession"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)[1] if dedupe else None
         for bank in sorted({b for own in banks for b in own}):
             own = np.array([bank in x for x in banks])
-            near = d[:, own] if metric == "cosine" else _direct(asks, own_refs[own], d[:, own], None if dedupe else k)
-            rows, at, value = _best(np.round(near, DECIMALS), rp[own], None if names is None else names[own], k)
-            if threshold is not None:
-                fine = value <= threshold
-                rows, at, value = rows[fine], at[fine], value[fine]
-            parts.append(pa.table({"aspect_key": pa.array([bank] * len(rows), "string"), "query_pos": qp[rows], "ref_pos": at, "distance": value}, schema=arrow))
+            refs, at_refs, own_names = all_refs[own], rp[own], names[own] if dedupe else None
+            for part in _slabs(len(asks), len(refs)):
+                near = matrix_distance(asks[part], refs, metric, True)
+                if metric == "l2":
+                    near = _direct(asks[part], refs, near, None if dedupe else k)
+                rows, at, value = _best(np.round(near, DECIMALS, out=near), at_refs, own_names, k)
+                if threshold is not None:
+                    fine = value <= threshold
+                    rows, at, value = rows[fine], at[fine], value[fine]
+                parts.append(pa.table({"aspect_key": pa.array([bank] * len(rows), "string"), "query_pos": qp[part][rows], "ref_pos": at, "distance": value}, schema=arrow))
         return pa.concat_tables(parts) if parts else arrow.empty_table()
 
     q, r = q.select(*keys, "query_pos", "embedding"), r.select(*keys, "ref_pos", "ref_accession", "embedding", "banks")

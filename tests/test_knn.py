@@ -183,3 +183,17 @@ def whole_matrix(large_sides, metric):
 
 def test_l2_matrix_is_given_out_in_slabs(large_sides):
     whole_matrix(large_sides, "l2")
+
+
+def test_dedupe_works_in_slabs(large_sides):
+    queries, refs = large_sides
+    before = worker_mb()
+    got = knn.knn_join(queries, refs, 5, strategy="block", dedupe=True, dim=4).toPandas().sort_values(["query_pos", "k_position"])
+    (qp, q), (rp, r) = columns(queries, "query_pos"), columns(refs, "ref_pos")
+    for i in range(0, 4096, 500):
+        best = {}
+        for d, pos in sorted(zip(np.round(knn.matrix_distance(q[i : i + 1], r, "cosine")[0], 12), rp))[:20]:
+            best.setdefault(f"R{pos % 9000}", pos)
+        assert got[got["query_pos"] == qp[i]]["ref_pos"].tolist() == list(best.values())[:5]
+    assert len(got) == 5 * 4096
+    assert worker_mb() < max(before, 500)
