@@ -197,3 +197,30 @@ def test_dedupe_works_in_slabs(large_sides):
         assert got[got["query_pos"] == qp[i]]["ref_pos"].tolist() == list(best.values())[:5]
     assert len(got) == 5 * 4096
     assert worker_mb() < max(before, 500)
+
+
+def test_cosine_matrix_is_given_out_in_slabs(large_sides):
+    whole_matrix(large_sides, "cosine")
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+@pytest.mark.parametrize("dedupe", [False, True])
+def test_whole_rankings(sides, monkeypatch, metric, dedupe):
+    """Equal to the merged rankings, for banks, thresholds and accessions with several rows."""
+    queries, refs, *_ = sides
+    banks = refs.select("ref_pos", F.explode(F.expr("CASE WHEN ref_pos % 3 = 0 THEN array('F', 'P') ELSE array('C') END")).alias("aspect"))
+    ask = lambda: sorted(map(tuple, knn.knn_join(queries, refs, 40, metric, 1.1 if metric == "cosine" else 20.0, "block", dedupe=dedupe, banks=banks).withColumn("distance", F.round("distance", 9)).collect()))
+    whole = ask()
+    monkeypatch.setattr(knn, "WHOLE_BYTES", 0)
+    assert whole and whole == ask()
+
+
+def test_all_references_are_ranked_where_they_meet(large_sides):
+    """No pair goes through a sort or an exchange."""
+    queries, refs = large_sides
+    before = worker_mb()
+    got = knn.knn_join(queries.limit(512), refs, 10**9, strategy="block", dim=4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert got.count() == 512 * 16384 and got.where("k_position = 16384").count() == 512
+    assert worker_mb() < max(before, 500)
