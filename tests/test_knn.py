@@ -224,3 +224,25 @@ def test_all_references_are_ranked_where_they_meet(large_sides):
     assert "Window" not in plan and "Join" not in plan
     assert got.count() == 512 * 16384 and got.where("k_position = 16384").count() == 512
     assert worker_mb() < max(before, 500)
+
+
+@pytest.mark.parametrize(
+    ("dim", "options"),
+    [(8, {"dedupe": True}), (8, {"metric": "l2", "distance_threshold": 8.0}), (8, {"pre_normalized": True}), (70, {"by_bank": True})],
+)
+def test_jvm_strategy_bounds_its_rankings(spark, monkeypatch, dim, options):
+    """Few of all pairs are ranked, with the result of the blocks, among copies and with a bank of fewer than k references too."""
+    monkeypatch.setattr(knn, "JVM_PAIRS", 0)
+    rng = np.random.default_rng(5)
+    r, q = rng.normal(size=(400, dim)).astype("f4"), rng.normal(size=(12, dim)).astype("f4")
+    r[100:240], q[3] = r[0], r[0]
+    refs = spark.createDataFrame([(i, f"R{i // 2}", v.tolist()) for i, v in enumerate(r)], R).cache()
+    queries = spark.createDataFrame([(i, f"Q{i}", v.tolist()) for i, v in enumerate(q)], Q).cache()
+    options = dict(options)
+    if options.pop("by_bank", False):
+        options["banks"] = spark.createDataFrame([(i, "F") for i in range(400)] + [(7, "P"), (120, "P")], "ref_pos long, aspect string")
+    got, want = (sorted(map(tuple, knn.knn_join(queries, refs, 3, strategy=s, dim=dim, **options).drop("distance").collect())) for s in ("jvm", "block"))
+    assert got == want
+    assert {x[1] for x in got} == set(range(12))
+    pairs = knn._jvm_pairs(queries, refs.withColumn("banks", F.array(F.lit(""))), 3, options.get("metric", "cosine"), options.get("pre_normalized", False), options.get("dedupe", False), dim)
+    assert 36 <= pairs.count() < 12 * 400 / 2
